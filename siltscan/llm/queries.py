@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltscan.llm import bpe, mixing, secrets, sharding, tokens, toxicity
+from siltscan.llm import ann, bpe, html, linecrf, mixing, neardup, secrets, sharding, tokens, toxicity
 from siltscan.llm._common import read
 
 
@@ -14,6 +14,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each near duplicate with the document of its group that stays."""
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxic documents, with score and terms."""
     return toxicity.toxic_documents(read(spark, sf_dir, "documents"))
@@ -23,6 +28,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"))
 
 
+def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that stay, with their share of content."""
+    return linecrf.kept_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(read(spark, sf_dir, "documents"))
 
@@ -31,12 +41,32 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(read(spark, sf_dir, "documents"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(read(spark, sf_dir, "embeddings"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(read(spark, sf_dir, "pages"))
+
+
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_bpe, op6_secret_scan, op7_mixing, op10_hilbert_shards)
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_near_duplicates,
+        op3_toxicity,
+        op4_bpe,
+        op5_line_crf,
+        op6_secret_scan,
+        op7_mixing,
+        op8_nearest_neighbours,
+        op9_html_extraction,
+        op10_hilbert_shards,
+    )
 }
 ORACLES: dict[str, str] = {
     "op6_secret_scan": secrets.ORACLE,
