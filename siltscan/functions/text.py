@@ -34,11 +34,16 @@ def mode_string(mode: Column) -> Column:
     return F.concat(kind, *bits)
 
 
+def _tenths(n: Column, bits: int) -> Column:
+    """``n`` over a power of two, to one place; halves go to the even digit, where ``%.1f`` alone would round them up."""
+    return F.bround(n / F.lit(float(1 << bits)), 1)
+
+
 def size_string(n: Column) -> Column:
     steps = F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B")))
     for power, unit in ((1, "KB"), (2, "MB")):
-        steps = steps.when(n < 1 << (10 * power + 10), F.format_string("%.1f " + unit, n / F.lit(float(1 << (10 * power)))))
-    return steps.otherwise(F.format_string("%.1f GB", n / F.lit(float(1 << 30))))
+        steps = steps.when(n < 1 << (10 * power + 10), F.format_string("%.1f " + unit, _tenths(n, 10 * power)))
+    return steps.otherwise(F.format_string("%.1f GB", _tenths(n, 30)))
 
 
 def iso_time(seconds: Column) -> Column:
