@@ -175,17 +175,18 @@ class UnigramCounter:
 
     def viterbi(self, segment: str) -> int:
         n = len(segment)
-        hits: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.matches.iter(segment):
-            hits[end].append(match)  # for one end the automaton gives the longest first
         score, count = [0.0] * (n + 1), [0] * (n + 1)
+        matches = iter(self.matches.iter(segment))  # by end; for one end the longest first
+        end, match = next(matches, (n, None))
         for i in range(n):
             best, pieces, single = float("-inf"), 0, False
-            for length, s in hits[i]:
+            while end == i:
+                length, s = match
                 j = i + 1 - length
                 if score[j] + s > best:
                     best, pieces = score[j] + s, count[j] + 1
                 single = single or length == 1
+                end, match = next(matches, (n, None))
             if not single and score[i] + self.unknown > best:
                 best, pieces = score[i] + self.unknown, count[i] + len(segment[i].encode("utf-8", "surrogatepass"))
             score[i + 1], count[i + 1] = best, pieces
@@ -221,12 +222,11 @@ class UnigramCounter:
             if len(memo) + len(new) > MEMO_ENTRIES:
                 memo.clear()
                 new = every
-            bare = {(w[1:] if w[0] == "\n" else SPACE + w): w for w in new}
-            found, others = self.words.counts(list(bare))
-            memo.update((bare[w], k) for w, k in found.items())
-            memo.update((bare[w], self.viterbi(w)) for w in others)
-            if "" in bare:
-                memo[bare[""]] = 0
+            bare = {w: w[1:] if w[0:1] == "\n" else SPACE + w for w in new}
+            found, others = self.words.counts(list(set(bare.values())))
+            found.update((w, self.viterbi(w)) for w in others)
+            found[""] = 0
+            memo.update((key, found[w]) for key, w in bare.items())
             out += [None if words is None else more + sum(map(memo.__getitem__, words)) for words, more in parts]
         return out
 
