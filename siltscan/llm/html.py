@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from siltscan.llm._common import small
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\w[^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\w[^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>",
     re.S | re.I,
 )
 CLASS = re.compile(r"""\bclass\s*=\s*(?:"\s*([^\s"]+)|'\s*([^\s']+)|([^\s"'>]+))""", re.I)
