@@ -96,10 +96,10 @@ def redact(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     some, none = docs.where(has), docs.where(~has)
     joined = some.join(by_doc, some["doc_id"].eqNullSafe(by_doc["__silt_id"]), "left")
     # Longest first, so that a secret inside another doesn't break it.
-    order = F.array_sort(F.col("__silt_secrets"), lambda a, b: F.length(b) - F.length(a))
+    order = F.array_sort(by_doc["__silt_secrets"], lambda a, b: F.length(b) - F.length(a))
     text = F.aggregate(F.coalesce(order, F.array().cast("array<string>")), some["text"], lambda t, s: F.replace(t, s, F.lit(REDACTED)))
     columns = [
-        text.alias(c) if c == "text" else F.when(F.col("__silt_id").isNotNull(), F.length(text)).otherwise(some[c]).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else some[c]
+        text.alias(c) if c == "text" else F.when(by_doc["__silt_secrets"].isNotNull(), F.length(text)).otherwise(some[c]).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else some[c]
         for c in docs.columns
     ]
     return none.unionByName(joined.select(*columns))
