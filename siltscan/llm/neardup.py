@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from siltscan.llm._common import cut, kept_columns
 
-SYMBOLS, RADIUS, SEED = 64, 25, 20240607
+SYMBOLS, RADIUS, SEED = 96, 40, 20240607
 WORD = re.compile(r"\w+")
 BLOCK = 2_048
 #: Up to this many signatures of a bucket are compared pair by pair.
@@ -292,6 +292,6 @@ def without_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         return kept_columns(docs, drop, "left_anti")
     rest = kept_columns(docs, drop.select("doc_id").union(again).distinct(), "left_anti")
     repeated = kept_columns(docs, again.join(drop, "doc_id", "left_anti"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(*[F.asc_nulls_last(f"`{c}`") for c in ["text", *sorted(set(docs.columns) - {"text", "doc_id"})]])
+    order = Window.partitionBy("doc_id").orderBy(*[F.asc_nulls_last(F.col(f"`{c}`").cast("string")) for c in ["text", *sorted(set(docs.columns) - {"text", "doc_id"})]])
     first = repeated.withColumn("__silt_row", F.row_number().over(order)).where("__silt_row = 1")
     return rest.unionByName(first.select(*[F.col(f"`{c}`") for c in docs.columns]))
