@@ -10,18 +10,22 @@ from pyspark.sql import functions as F
 U64 = "decimal(20,0)"
 
 
-def field(block: Column | str, at: int, width: int) -> Column:
-    """The ``width``-byte unsigned field at ``at`` (from 0): DECIMAL(20,0) for 8 bytes, else BIGINT. Null past the end."""
-    block = F.col(block) if isinstance(block, str) else block
-    digits = F.concat(*[F.hex(F.substring(block, at + width - i, 1)) for i in range(width)])
-    value = F.conv(digits, 16, 10).cast(U64 if width == 8 else "bigint")
-    return F.when(F.octet_length(block) >= at + width, value)
+def field_sql(block: str, at: int, width: int) -> str:
+    digits = ", ".join(f"hex(substring({block}, {at + width - i}, 1))" for i in range(width))
+    return f"CASE WHEN octet_length({block}) >= {at + width} THEN CAST(conv(concat({digits}), 16, 10) AS {U64 if width == 8 else 'bigint'}) END"
 
 
-def signed(block: Column | str, at: int) -> Column:
+def signed_sql(block: str, at: int) -> str:
     """The signed 64-bit field at ``at`` as BIGINT."""
-    u = field(block, at, 8)
-    return F.when(u >= F.lit(Decimal(1 << 63)).cast(U64), u - F.lit(Decimal(1 << 64)).cast("decimal(21,0)")).otherwise(u).cast("bigint")
+    return f"(shiftleft({field_sql(block, at + 4, 4)}, 32) | {field_sql(block, at, 4)})"
+
+
+def field(block: str, at: int, width: int) -> Column:
+    """The ``width``-byte unsigned field at ``at`` (from 0) of a column: DECIMAL(20,0) for 8 bytes, else BIGINT. Null past the end.
+
+    Written as one SQL string: a plan has dozens of fields, and each function call from Python costs a round trip.
+    """
+    return F.expr(field_sql(block, at, width))
 
 
 def unsigned(x: Column | str) -> Column:

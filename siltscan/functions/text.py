@@ -46,14 +46,15 @@ def size_string(n: Column) -> Column:
     return steps.otherwise(F.format_string("%.1f GB", _tenths(n, 30)))
 
 
-def iso_time(seconds: Column) -> Column:
-    """UTC time without a fraction; ``<invalid: sec=N>`` outside the years 1 to 9999."""
-    ok = seconds.between(-62_135_596_800, 253_402_300_799)
-    # Counted from a zoneless epoch, so that the session's time zone doesn't matter.
-    zero = F.lit(0)
-    at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, F.when(ok, seconds).cast("decimal(18,6)"))
-    shown = F.replace(at.cast("string"), F.lit(" "), F.lit("T"))
-    return F.when(ok, F.concat(shown, F.lit("+00:00"))).otherwise(F.concat(F.lit("<invalid: sec="), seconds.cast("string"), F.lit(">")))
+def iso_time(seconds: str) -> str:
+    """SQL for the UTC time, without a fraction, of an expression in seconds; ``<invalid: sec=N>`` outside the years 1 to 9999.
+
+    Counted from a zoneless epoch, so that the session's time zone doesn't matter.
+    """
+    ok = f"{seconds} BETWEEN -62135596800 AND 253402300799"
+    span = f"make_dt_interval(0, 0, 0, CAST(CASE WHEN {ok} THEN {seconds} END AS decimal(18,6)))"
+    shown = f"replace(CAST(timestamp_ntz'1970-01-01 00:00:00' + {span} AS string), ' ', 'T')"
+    return f"CASE WHEN {ok} THEN concat({shown}, '+00:00') ELSE concat('<invalid: sec=', CAST({seconds} AS string), '>') END"
 
 
 def _named(code: Column, names: dict[int, str], other: Column) -> Column:

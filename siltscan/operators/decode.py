@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType
 
 from siltscan import layout
-from siltscan.functions.binary import any_in, field, signed
+from siltscan.functions.binary import any_in, field, field_sql, signed_sql
 from siltscan.functions.text import as_text, is_name, iso_time
 from siltscan.operators.nodes import position
 
@@ -20,19 +20,19 @@ def _whole(n: int) -> Column:
     return (F.col("data_size") >= n) & (F.octet_length("payload") >= n)
 
 
-def inode_fields(payload: Column, layout_: str = "parity") -> list[Column]:
+def inode_struct(payload: str, layout_: str = "parity") -> Column:
     """The twelve numbers and four times of an inode record; a time is a struct of sec, nsec and iso."""
-    out = [field(payload, *where).alias(name) for name, where in reversed(layout.INODE_FIELDS.items())]
+    parts = [f"'{name}', {field_sql(payload, *where)}" for name, where in reversed(layout.INODE_FIELDS.items())]
     for name, at in layout.INODE_TIMES[layout_].items():
-        sec = signed(payload, at)
-        out.append(F.struct(sec.alias("sec"), field(payload, at + 8, 4).alias("nsec"), iso_time(sec).alias("iso")).alias(name))
-    return out
+        sec = signed_sql(payload, at)
+        parts.append(f"'{name}', named_struct('sec', {sec}, 'nsec', {field_sql(payload, at + 8, 4)}, 'iso', {iso_time(sec)})")
+    return F.expr(f"named_struct({', '.join(parts)})")
 
 
 def inode_items(items: DataFrame, layout_: str = "parity") -> DataFrame:
     """Every inode record of a leaf, in no order; ``first_inode_metadata`` picks one per inode and generation."""
     rows = items.where((F.col("route") == "leaf") & (F.col("type") == layout.INODE) & _whole(layout.INODE_BYTES))
-    return rows.select(position().alias("pos"), F.col("objectid").alias("inode"), F.col("gen"), F.struct(*inode_fields(F.col("payload"), layout_)).alias("meta"))
+    return rows.select(position().alias("pos"), F.col("objectid").alias("inode"), F.col("gen"), inode_struct("payload", layout_).alias("meta"))
 
 
 def first_inode_metadata(inodes: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def name_events(items: DataFrame) -> DataFrame:
 
 def file_extents(items: DataFrame) -> DataFrame:
     """Inline payloads and references to regular extents; sparse and preallocated ones are left out."""
-    p = F.col("payload")
+    p = "payload"
     wide = "decimal(38,0)"
     rows = items.where((F.col("route") == "leaf") & (F.col("type") == layout.EXTENT) & (F.octet_length(p) >= layout.EXTENT_HEADER))
     rows = rows.select(

@@ -133,14 +133,13 @@ def orphan_pointers(nodes_: DataFrame, nodesize: int) -> DataFrame:
     """Key pointers past the valid ones of internal nodes, up to the first that is null or not aligned to 4096."""
     most = (nodesize - layout.HEADER_BYTES) // layout.POINTER.itemsize
     src = nodes_.where("route = 'internal'").where(F.col("nritems") < most)
-    slot = F.sequence(F.col("nritems").cast("int"), F.lit(most - 1))
+    def at(offset: int) -> str:
+        start = f"{layout.HEADER_BYTES + 1 + offset} + i * {layout.POINTER.itemsize}"
+        digits = ", ".join(f"hex(substring(block, {start} + {7 - k}, 1))" for k in range(8))
+        return f"CAST(conv(concat({digits}), 16, 10) AS decimal(20,0))"
 
-    def at(i: Column, offset: int) -> Column:
-        start = F.lit(layout.HEADER_BYTES + 1 + offset) + i * layout.POINTER.itemsize
-        digits = F.concat(*[F.hex(F.substring(F.col("block"), start + (7 - k), F.lit(1))) for k in range(8)])
-        return F.conv(digits, 16, 10).cast("decimal(20,0)")
-
-    pointers = F.transform(slot, lambda i: F.struct(i.alias("slot"), at(i, 17).alias("child_logical"), at(i, 25).alias("child_gen")))
+    slots = f"sequence(CAST(nritems AS int), {most - 1})"
+    pointers = F.expr(f"transform({slots}, i -> named_struct('slot', i, 'child_logical', {at(17)}, 'child_gen', {at(25)}))")
     rows = src.select("off", "gen", pointers.alias("p"))
     return rows.select("off", "gen", F.explode(take_while(F.col("p"), lambda p: (p["child_logical"] != 0) & (p["child_logical"] % 4096 == 0))).alias("p")).select(
         F.col("off").alias("parent_offset"), F.col("gen").alias("parent_gen"), "p.child_logical", "p.child_gen", "p.slot"

@@ -29,7 +29,7 @@ def recover_blocks(
 ) -> dict[str, DataFrame]:
     """All tables of a recovery from (off, block) and the superblock's fields.
 
-    Nodes and items feed many branches, so they are kept, on disk where memory is short; a lost executor's part is
+    What feeds several branches is kept, on disk where memory is short; a lost executor's part is
     computed again from the image.
     """
     spark, size = blocks.sparkSession, sb["nodesize"]
@@ -40,13 +40,13 @@ def recover_blocks(
     t["leaf_items"] = keep(nodes.items(t["nodes"], size))
     t["inode_items"] = decode.inode_items(t["leaf_items"], layout_)
     t["inode_metadata"] = decode.first_inode_metadata(t["inode_items"])
-    t["name_events"] = decode.name_events(t["leaf_items"])
+    t["name_events"] = keep(decode.name_events(t["leaf_items"]))
     t["names"] = names.final_names(t["name_events"])
     t["moves"] = names.moves(t["name_events"])
     t["file_extents"] = decode.file_extents(t["leaf_items"])
     named = names.resolved(t["file_extents"], t["name_events"])
-    t["inline_files"] = extents.inline_files(named)
-    t["regular_files"] = extents.regular_files(named, chunks, len(sb["chunks"]) if "chunks" in sb else None)
+    t["inline_files"] = keep(extents.inline_files(named))
+    t["regular_files"] = keep(extents.regular_files(named, chunks, len(sb["chunks"]) if "chunks" in sb else None))
     t["root_anomalies"] = decode.root_anomalies(t["leaf_items"])
     t["extent_backrefs"] = decode.extent_backrefs(t["leaf_items"])
     t["devices"] = decode.devices(t["leaf_items"], layout_)

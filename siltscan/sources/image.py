@@ -6,11 +6,13 @@ local or mounted one.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -96,6 +98,9 @@ class ImageSource(DataSource):
 
 def blocks(spark: SparkSession, path: str, nodesize: int, fsid: bytes | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(off, block) of the scan of an image. With ``fsid``, blocks of another filesystem aren't even shipped to the JVM."""
+    # The source is planned in a Python process that may lack this package on its path, so its code goes along.
+    for module in (sys.modules[__name__], layout):
+        cloudpickle.register_pickle_by_value(module)
     spark.dataSource.register(ImageSource)
     reader = spark.read.format("siltimage").option("path", path).option("nodesize", nodesize).option("rangebytes", range_bytes)
     return (reader.option("fsid", fsid.hex()) if fsid else reader).load()
