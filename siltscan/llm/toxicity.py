@@ -5,22 +5,33 @@ computed once per worker, so a word costs one table step per character and most
 term tolerates depends on its length (``edits_for``): short terms only match exactly or by look-alike characters
 (0 for o, @ for a, and so on, which are free), since one edit turns them into ordinary words.
 
+Beside the given lexicon, terms are learned from at most ``SAMPLE`` labelled documents, those with the smallest hashed
+ids. Near copies among them count once. A word is taken if it is in toxic documents so much more often than their share
+that the binomial tail bound is below exp(-``EVIDENCE``), and in at least three toxic ones for each other. Its severity is
+the fourth power of its precision, always below 1, so it takes two hits; learned terms only match exactly.
+
 A hit's score is its term's severity, times ``0.7`` for each edit, times the context's factor: within ``WINDOW``
 words, a quoted hit next to a reporting word counts 0.1, a quoted one 0.4, one next to a reporting word 0.6; a second
 person within ``NEAR`` words counts 1.25. A document is toxic from a total of ``THRESHOLD``.
 
-Null, empty and wordless texts score 0 and are never toxic. Repeated rows give repeated results.
+Null, empty and wordless texts score 0 and are never toxic. Repeated rows give repeated results. Without labelled
+documents nothing is learned.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from siltscan.llm._common import Memo, map_rows
+from siltscan.llm.neardup import MinHash
 
 #: term -> severity. A starting lexicon of public everyday insults; pass another to ``toxic_documents``.
 LEXICON = {
@@ -37,6 +48,9 @@ ALIKE = str.maketrans("0134578@$!", "oieastbasi")
 WORD = re.compile(r"[@$]?\w+(?:[@$!*]+\w+)*")
 QUOTED = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“”\n]{1,400}[“”]|‘[^’\n]{1,400}’")
 WINDOW, NEAR, THRESHOLD = 8, 3, 1.0
+SAMPLE, EVIDENCE, PRECISION = 5_000, 10.0, 0.75
+#: Differing symbols of two signatures up to which a labelled document is a copy of another.
+COPY = 60
 
 
 def edits_for(term: str) -> int:
@@ -46,11 +60,12 @@ def edits_for(term: str) -> int:
 class LexiconAutomaton:
     """Finds the lexicon term within its edit budget of a word: the one with fewest edits, then the first by name."""
 
-    def __init__(self, terms: Iterable[str]):
+    def __init__(self, terms: Iterable[str], exact: Iterable[str] = ()):
+        self.edits = dict.fromkeys(exact, 0) | {t: edits_for(t) for t in terms}
         self.children: list[dict[str, int]] = [{}]
         self.term: dict[int, str] = {}
         self.budget = [0]
-        for term in sorted(set(terms)):
+        for term in sorted(self.edits):
             node = 0
             for c in term:
                 if c not in self.children[node]:
@@ -71,7 +86,7 @@ class LexiconAutomaton:
     def _budgets(self, node: int) -> int:
         """Most edits that any term below ``node`` tolerates; recursion is as deep as a term is long."""
         below = [self._budgets(child) for child in self.children[node].values()]
-        self.budget[node] = max([edits_for(self.term[node]) if node in self.term else 0, *below])
+        self.budget[node] = max([self.edits[self.term[node]] if node in self.term else 0, *below])
         return self.budget[node]
 
     def _state(self, pairs: set[tuple[int, int]]) -> int:
@@ -91,7 +106,7 @@ class LexiconAutomaton:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
-            ends = [(e, self.term[n]) for n, e in key if n in self.term and e <= edits_for(self.term[n])]
+            ends = [(e, self.term[n]) for n, e in key if n in self.term and e <= self.edits[self.term[n]]]
             self.accepts.append(min(ends)[::-1] if ends else None)
         return self.states[key]
 
@@ -142,20 +157,70 @@ def score(text: str, automaton: LexiconAutomaton, lexicon: dict[str, float]) ->
 _AUTOMATA: dict[tuple, LexiconAutomaton] = {}
 
 
-def automaton_of(lexicon: dict[str, float]) -> LexiconAutomaton:
-    key = tuple(sorted(lexicon))
+def automaton_of(lexicon: dict[str, float], learned: dict[str, float] | None = None) -> LexiconAutomaton:
+    key = (tuple(sorted(lexicon)), tuple(sorted(learned or ())))
     if key not in _AUTOMATA:
         _AUTOMATA.clear()
-        _AUTOMATA[key] = LexiconAutomaton(key)
+        _AUTOMATA[key] = LexiconAutomaton(*key)
     return _AUTOMATA[key]
 
 
-def toxicity(docs: DataFrame, lexicon: dict[str, float] = LEXICON, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def learned_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
+    """Severities of the terms that the labelled sample teaches."""
+    chosen = (
+        labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
+        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
+    )
+    # At most ``sample`` rows, so it is broadcast.
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = MinHash()
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            sigs = [make.signature(t) for t in texts]
+            found = ["\n".join(sorted({w for w in WORD.findall(t.lower()) if w.isalpha()})) if t else "" for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(sigs, pa.binary()), pa.array(found, pa.string())], ["toxic", "sig", "words"])
+
+    rows = picked.mapInArrow(words, "toxic int, sig binary, words string").where("sig IS NOT NULL").collect()
+    rows = sorted((bytes(r["sig"]), r["words"], int(r["toxic"] > 0)) for r in rows)
+    return terms_of(rows)
+
+
+def terms_of(rows: list[tuple[bytes, str, int]]) -> dict[str, float]:
+    """Terms and severities from (signature, distinct words a line each, toxic)."""
+    kept = np.zeros((len(rows), len(rows[0][0]) if rows else 0), dtype=np.uint8)
+    counts, n = (Counter(), Counter()), [0, 0]
+    for sig, words, toxic in rows:
+        own, k = np.frombuffer(sig, dtype=np.uint8), sum(n)
+        if k and np.count_nonzero(kept[:k] != own, axis=1).min() <= COPY:
+            continue
+        kept[k] = own
+        n[toxic] += 1
+        counts[toxic].update(words.split("\n"))
+    if not all(n):
+        return {}
+    share, out = n[1] / sum(n), {}
+    for word, hits in counts[1].items():
+        others = counts[0][word]
+        precision = hits / (hits + others)
+        if word and precision > max(PRECISION, share):
+            gap = precision * math.log(precision / share) + (0 if not others else (1 - precision) * math.log((1 - precision) / (1 - share)))
+            if (hits + others) * gap >= EVIDENCE:
+                out[word] = (hits / (hits + others + 1)) ** 4
+    return out
+
+
+def toxicity(
+    docs: DataFrame, lexicon: dict[str, float] = LEXICON, learned: dict[str, float] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """``id_col``, ``score``, ``terms`` and ``toxic`` of every row. A narrow map: nothing is shuffled."""
+    severity = {**(learned or {}), **lexicon}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        automaton = automaton_of(lexicon)
-        found = [score(t, automaton, lexicon) if t else (0.0, []) for t in batch.column(1).to_pylist()]
+        automaton = automaton_of(lexicon, learned)
+        found = [score(t, automaton, severity) if t else (0.0, []) for t in batch.column(1).to_pylist()]
         scores, terms = [s for s, _ in found], [t for _, t in found]
         # A float sum of 0.99999 from factors that add up to 1 still counts.
         toxic = [s + 1e-9 >= threshold for s in scores]
@@ -173,13 +238,14 @@ def toxic_documents(docs: DataFrame, **params) -> DataFrame:
     return toxicity(docs, **params).where("toxic")
 
 
-def without_toxic(docs: DataFrame, lexicon: dict[str, float] = LEXICON, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+def without_toxic(docs: DataFrame, lexicon: dict[str, float] = LEXICON, learned: dict[str, float] | None = None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns, less the toxic rows; judged row by row in place, so nothing is joined or shuffled."""
+    severity = {**(learned or {}), **lexicon}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        automaton = automaton_of(lexicon)
+        automaton = automaton_of(lexicon, learned)
         texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-        keep = [not t or score(t, automaton, lexicon)[0] + 1e-9 < threshold for t in texts]
+        keep = [not t or score(t, automaton, severity)[0] + 1e-9 < threshold for t in texts]
         return batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(lambda batches: map(run, batches), docs.schema)

@@ -67,12 +67,33 @@ def test_toxicity_of_awkward_rows(spark, awkward, empty):
     assert toxicity.toxicity(empty).count() == toxicity.without_toxic(empty).count() == 0
 
 
-def test_toxicity_against_labels(spark):
-    d = "/root/testdata/sf0.01"
-    got = {r.doc_id for r in toxicity.toxic_documents(spark.read.parquet(f"{d}/documents.parquet")).collect()}
-    labels = [(r.doc_id in got, r.toxic) for r in spark.read.parquet(f"{d}/labels.parquet").collect()]
-    assert sum(a != bool(b) for a, b in labels) <= 0.08 * sum(b for _, b in labels) + sum(b for a, b in labels if b and not a)
-    assert not any(a and not b for a, b in labels)
+def test_toxicity_on_held_out_labels(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    order = [r.doc_id for r in labels.selectExpr("doc_id", "md5(string(doc_id)) m").orderBy("m").collect()]
+    learned = toxicity.learned_terms(docs, labels, 3000)
+    assert learned == toxicity.learned_terms(docs.repartition(5), labels.repartition(3), 3000) and max(learned.values()) < 1
+    got = {r.doc_id for r in toxicity.toxic_documents(docs, learned=learned).collect()}
+    held = [(r.doc_id in got, r.toxic) for r in labels.collect() if r.doc_id in set(order[3000:])]
+    assert len(held) > 900
+    assert sum(a for a, b in held if b) / sum(b for _, b in held) > 0.93
+    assert sum(a for a, b in held if not b) <= 0.003 * len(held)
+
+
+def test_learning_needs_evidence_and_counts_copies_once(spark, awkward, empty):
+    def row(k, words, toxic):
+        rng = np.random.default_rng(k)
+        return (rng.integers(0, 256, 96, dtype=np.uint8).tobytes(), words, toxic)
+
+    clean = [row(k, "common", 0) for k in range(200)]
+    toxic = [row(1000 + k, "common\nbad", 1) for k in range(20)]
+    assert set(toxicity.terms_of(clean + toxic)) == {"bad"}
+    copies = [toxic[0]] * 20
+    assert toxicity.terms_of(clean + copies) == {} and toxicity.terms_of(clean) == toxicity.terms_of([]) == {}
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None), (5, 1), (99, 1)], "doc_id bigint, toxic int")
+    assert toxicity.learned_terms(awkward, labels) == toxicity.learned_terms(empty, labels) == toxicity.learned_terms(awkward, labels.limit(0)) == {}
+    a = toxicity.automaton_of(toxicity.LEXICON, {"zorbling": 0.9})
+    assert a.match("zorbling") == ("zorbling", 0) and a.match("zorblin") is None and a.match("patheti") == ("pathetic", 1)
 
 
 def test_viterbi_is_the_best_labelling():

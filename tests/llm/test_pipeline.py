@@ -23,6 +23,8 @@ def documents(n=120, seed=11):
         words = [rng.choice(vocabulary) for _ in range(rng.randint(5, 400))]
         if i % 9 == 0:
             words[2:2] = ["idiot", "you", "pathetic"]
+        if i % 8 == 5:
+            words[1:1] = ["zorble", "grumf", "zorble"]
         if i % 11 == 0:
             words[3:3] = [f'token = "{hashlib.md5(str(i).encode()).hexdigest()}"']
         if i % 10 == 0:
@@ -36,9 +38,16 @@ def documents(n=120, seed=11):
     return rows
 
 
+LABELS = [(i, int(i % 9 == 0 or i % 8 == 5)) for i in range(110)]
+
+
 def brute_toxicity(rows):
-    a = toxicity.automaton_of(toxicity.LEXICON)
-    return [r for r in rows if not r[1] or toxicity.score(r[1], a, toxicity.LEXICON)[0] + 1e-9 < toxicity.THRESHOLD]
+    m, label = neardup.MinHash(), dict(LABELS)
+    sample = sorted({(m.signature(r[1]), "\n".join({w for w in toxicity.WORD.findall(r[1].lower()) if w.isalpha()}), label[r[0]]) for r in rows if r[0] in label})
+    learned = toxicity.terms_of(sample)
+    assert "zorble" in learned
+    a, severity = toxicity.automaton_of(toxicity.LEXICON, learned), {**learned, **toxicity.LEXICON}
+    return [r for r in rows if not r[1] or toxicity.score(r[1], a, severity)[0] + 1e-9 < toxicity.THRESHOLD]
 
 
 def brute_dedup(rows):
@@ -124,6 +133,7 @@ BRUTE = [brute_toxicity, brute_dedup, brute_secrets, brute_mixing]
 def test_each_stage_and_the_whole(spark, tmp_path):
     rows = documents()
     spark.createDataFrame(rows, COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(LABELS, "doc_id bigint, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     left = rows
     for (name, stage), brute in zip(corpus_pipeline.STAGES, BRUTE):
         got = stage(spark, spark.createDataFrame(left, COLUMNS), str(tmp_path))
@@ -140,6 +150,7 @@ def test_each_stage_and_the_whole(spark, tmp_path):
 @pytest.mark.parametrize("rows", [ROWS, []])
 def test_every_stage_stands_awkward_tables(spark, tmp_path, rows):
     df = spark.createDataFrame(rows, SCHEMA)
+    spark.createDataFrame(LABELS[: len(rows)], "doc_id bigint, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, df, str(tmp_path))
         assert out.columns == df.columns and out.count() <= len(rows), name
