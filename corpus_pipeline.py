@@ -9,8 +9,8 @@ from siltscan.llm._common import read, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic documents go."""
-    return toxicity.without_toxic(docs)
+    """Toxic documents go, by the lexicon and what ``labels`` teach."""
+    return toxicity.without_toxic(docs, learned=toxicity.learned_terms(docs, read(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
