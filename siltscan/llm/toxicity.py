@@ -8,7 +8,7 @@ term tolerates depends on its length (``edits_for``): short terms only match exa
 Beside the given lexicon, terms are learned from at most ``SAMPLE`` labelled documents, those with the smallest hashed
 ids. Near copies among them count once. A word is taken if it is in toxic documents so much more often than their share
 that the binomial tail bound is below exp(-``EVIDENCE``), and in at least three toxic ones for each other. Its severity is
-the fourth power of its precision, always below 1, so it takes two hits; learned terms only match exactly.
+the cube of its smoothed precision, always below 1, so it takes two hits; learned terms only match exactly.
 
 A hit's score is its term's severity, times ``0.7`` for each edit, times the context's factor: within ``WINDOW``
 words, a quoted hit next to a reporting word counts 0.1, a quoted one 0.4, one next to a reporting word 0.6; a second
@@ -208,7 +208,7 @@ def terms_of(rows: list[tuple[bytes, str, int]]) -> dict[str, float]:
         if word and precision > max(PRECISION, share):
             gap = precision * math.log(precision / share) + (0 if not others else (1 - precision) * math.log((1 - precision) / (1 - share)))
             if (hits + others) * gap >= EVIDENCE:
-                out[word] = (hits / (hits + others + 1)) ** 4
+                out[word] = (hits / (hits + others + 1)) ** 3
     return out
 
 
