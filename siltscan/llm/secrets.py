@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltscan.llm._common import cut, small
+from siltscan.llm._common import BROADCAST_ROWS, cut
 
 NAME = (
     "(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Pp]asswd|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|"
@@ -84,25 +84,27 @@ def secret_scan(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
 def redact(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """``docs`` with every live-looking secret replaced by ``REDACTED`` and ``n_chars`` brought up to date.
 
-    Every row stays. Rows without a candidate pass straight through; only the others meet the table of secrets, by
-    broadcast where its checked size allows and else by a shuffle of those rows alone.
+    Every row stays. Where the table of live secrets by document is small, by its checked size, it is broadcast and the
+    texts are searched once in all. Beyond that, rows without a candidate pass straight through, and only the others
+    are shuffled to meet it.
     """
     each = cut(candidates(docs))
     live = each.join(ownership(each, max_owners).where("live"), "secret", "left_semi")
-    by_doc = small(live.groupBy("doc_id").agg(F.array_sort(F.collect_set("secret")).alias("secrets"))).select(
-        F.col("doc_id").alias("__silt_id"), F.col("secrets").alias("__silt_secrets")
-    )
-    has = F.coalesce(docs["text"].rlike(PATTERN), F.lit(False))
-    some, none = docs.where(has), docs.where(~has)
-    joined = some.join(by_doc, some["doc_id"].eqNullSafe(by_doc["__silt_id"]), "left")
     # Longest first, so that a secret inside another doesn't break it.
-    order = F.array_sort(by_doc["__silt_secrets"], lambda a, b: F.length(b) - F.length(a))
-    text = F.aggregate(F.coalesce(order, F.array().cast("array<string>")), some["text"], lambda t, s: F.replace(t, s, F.lit(REDACTED)))
-    columns = [
-        text.alias(c) if c == "text" else F.when(by_doc["__silt_secrets"].isNotNull(), F.length(text)).otherwise(some[c]).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else some[c]
-        for c in docs.columns
-    ]
-    return none.unionByName(joined.select(*columns))
+    order = F.array_sort(F.collect_set("secret"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    by_doc = cut(live.groupBy(F.col("doc_id").alias("__silt_id")).agg(order.alias("__silt_secrets")))
+    if by_doc.count() <= BROADCAST_ROWS:
+        return _redacted(docs, F.broadcast(by_doc), docs.columns)
+    has = F.coalesce(docs["text"].rlike(PATTERN), F.lit(False))
+    return docs.where(~has).unionByName(_redacted(docs.where(has), by_doc, docs.columns))
+
+
+def _redacted(docs: DataFrame, by_doc: DataFrame, columns: list[str]) -> DataFrame:
+    secrets = by_doc["__silt_secrets"]
+    joined = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["__silt_id"]), "left")
+    text = F.when(secrets.isNull(), docs["text"]).otherwise(F.aggregate(secrets, docs["text"], lambda t, s: F.replace(t, s, F.lit(REDACTED))))
+    n = F.when(secrets.isNull(), docs["n_chars"]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType) if "n_chars" in columns else None
+    return joined.select(*[text.alias(c) if c == "text" else n.alias(c) if c == "n_chars" else docs[c] for c in columns])
 
 
 ORACLE = f"""

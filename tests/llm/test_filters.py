@@ -193,8 +193,8 @@ def test_redaction(spark, monkeypatch):
             text = text.replace(s, secrets.REDACTED)
         return text
 
-    for most in (secrets.small.__defaults__[0], 0):  # by broadcast and by shuffle
-        monkeypatch.setattr(secrets.small, "__defaults__", (most,))
+    for most in (secrets.BROADCAST_ROWS, 0):  # by broadcast and by shuffle
+        monkeypatch.setattr(secrets, "BROADCAST_ROWS", most)
         out = secrets.redact(df)
         assert out.columns == df.columns and out.count() == len(SECRET_ROWS)
         got = sorted(str((r.doc_id, r.text)) for r in out.collect())
