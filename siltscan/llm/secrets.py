@@ -1,6 +1,6 @@
 """Secret scans: corpus-wide ownership frequency of candidate credentials.
 
-Candidates come from one pass of a regular expression over whole texts: credential assignments and self-describing
+Candidates come from one pass of a regular expression over whole texts, spared where a cheap test rules any match out: credential assignments and self-describing
 key formats, kept where they have ``MIN_LENGTH`` characters, ``MIN_DISTINCT`` distinct ones, and a letter and a digit.
 Each distinct (document, candidate) is hashed, and the corpus counts how many owners, repositories and documents hold
 a hash. One held by more than ``MAX_OWNERS`` owners is a widely copied example; any other is owner-specific and
@@ -35,6 +35,19 @@ def found(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
+#: What any match must hold; far cheaper to look for than the pattern, whose alternatives start with common letters.
+ASSIGNS = "[:=][ \\t]*[\"']"
+PREFIXES = ("AKIA", "ghp_", "gho_", "ghs_", "ghu_", "glpat-", "xox", "AIza", "k_live_", "eyJ")
+
+
+def may_match(text: Column) -> Column:
+    """False only for texts without a match."""
+    out = text.rlike(ASSIGNS)
+    for prefix in PREFIXES:
+        out = out | F.contains(text, F.lit(prefix))
+    return F.coalesce(out, F.lit(False))
+
+
 def looks_random(secret: Column) -> Column:
     return (
         (F.length(secret) >= MIN_LENGTH)
@@ -46,7 +59,7 @@ def looks_random(secret: Column) -> Column:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """Distinct (doc_id, owner, repo, secret)."""
-    match = docs.select("doc_id", "source", "lang", F.explode(found(F.col("text"))).alias("m"))
+    match = docs.where(may_match(docs["text"])).select("doc_id", "source", "lang", F.explode(found(F.col("text"))).alias("m"))
     secret = F.when(F.col("m").rlike(QUOTED), F.regexp_extract("m", QUOTED, 1)).otherwise(F.col("m"))
     owner = F.coalesce("source", F.lit(""))
     return (
@@ -85,8 +98,7 @@ def redact(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """``docs`` with every live-looking secret replaced by ``REDACTED`` and ``n_chars`` brought up to date.
 
     Every row stays. Where the table of live secrets by document is small, by its checked size, it is broadcast and the
-    texts are searched once in all. Beyond that, rows without a candidate pass straight through, and only the others
-    are shuffled to meet it.
+    texts are searched once in all. Beyond that, rows that can't have a candidate pass straight through, and only the others are shuffled to meet it.
     """
     each = cut(candidates(docs))
     live = each.join(ownership(each, max_owners).where("live"), "secret", "left_semi")
@@ -95,7 +107,7 @@ def redact(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     by_doc = cut(live.groupBy(F.col("doc_id").alias("__silt_id")).agg(order.alias("__silt_secrets")))
     if by_doc.count() <= BROADCAST_ROWS:
         return _redacted(docs, F.broadcast(by_doc), docs.columns)
-    has = F.coalesce(docs["text"].rlike(PATTERN), F.lit(False))
+    has = may_match(docs["text"])
     return docs.where(~has).unionByName(_redacted(docs.where(has), by_doc, docs.columns))
 
 
