@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from siltscan.llm._common import cut
 
-K, DEGREE, BUILD_BEAM, BEAM, ALPHA, SHARD_ROWS, BLOCK_ROWS = 10, 32, 64, 100, 1.2, 20_000, 2_000
+K, DEGREE, BUILD_BEAM, BEAM, ALPHA, SHARD_ROWS, BLOCK_ROWS = 10, 32, 64, 128, 1.2, 20_000, 2_000
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
