@@ -81,6 +81,8 @@ def _image_of(spark: SparkSession, blocks: DataFrame, n_blocks: int) -> str:
     """Write blocks into one image in the session's shared folder, each task at its own offsets."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siltscan-")
     folder = shared.removeprefix("file://")
+    if "://" in folder:
+        raise ValueError("an image can only be written at offsets to a mounted folder")
     path = f"{folder}/image-{uuid.uuid4().hex}.img"
     size = layout.SUPERBLOCK_AT + NODE * (n_blocks + 1)
 
@@ -268,6 +270,61 @@ def k4_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("f.filename", "f.size")
 
 
+@query("SELECT 'inode_' || s_suppkey || '_gen50_valid_extent.bin' AS output_path, s_name AS content, false AS short_read FROM supplier")
+def s7_regular_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' names as regular extents elsewhere in an image: deduplicated, translated and read back (round trip)."""
+    s, key = _read(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    raw, step = F.encode("s_name", "UTF-8"), 256
+    last = int(s.agg(F.max("s_suppkey")).first()[0] or 0)
+    n, logical = last // PER_NODE + 1, 1 << 30
+    data_at = layout.SUPERBLOCK_AT + NODE * (n + 1)
+    extent = encode.regular_extent(key * step + logical, F.lit(step), F.lit(0), F.octet_length(raw))
+    blocks = encode.encode_leaves(_items(s, key, layout.EXTENT, extent), NODE, FSID)
+    data = s.select((key * step + data_at).alias("off"), raw.alias("block"))
+    path = _image_of(spark, blocks.unionByName(data), n + (last + 1) * step // NODE + 1)
+    chunks = superblock.chunk_table(spark, [(logical, logical + (1 << 40), data_at, 1 << 40)])
+    items = nodes.items(nodes.nodes(image.blocks(spark, path, NODE, FSID), FSID, GENERATION, NODE), NODE)
+    named = names.resolved(decode.file_extents(items), decode.name_events(items))
+    pieces = extents.extent_pieces(extents.regular_files(named, chunks), path)
+    return pieces.select("output_path", F.decode("data", "UTF-8").alias("content"), "short_read")
+
+
+@query("""
+SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS ord, (n_nationkey + 1) * 1048576 AS logical_start, (n_nationkey + 1) * 1048576 + 4096 + n_regionkey AS logical_end,
+  CASE WHEN n_nationkey = 0 THEN 69632 ELSE n_nationkey * 8192 + 7 END::BIGINT AS physical_start FROM nation""")
+def s2_s5_s6_chunk_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk map of an image whose superblock holds the first nation's chunk and whose chunk tree holds all (round trip)."""
+    rows = [r.asDict() for r in _read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+
+    def chunk(r: dict) -> tuple[int, bytes]:
+        k = r["n_nationkey"]
+        physical = layout.SUPERBLOCK_AT + NODE if k == 0 else k * 8192 + 7
+        body = (4096 + r["n_regionkey"]).to_bytes(8, "little") + bytes(36) + b"\1\0" + bytes(10) + physical.to_bytes(8, "little") + bytes(16)
+        return (k + 1) << 20, body
+
+    start, body = chunk(rows[0])
+    array = bytes(8) + bytes([layout.CHUNK]) + start.to_bytes(8, "little") + body
+    leaf = encode.sealed([encode.pack_node([(256, layout.CHUNK, *chunk(r)) for r in rows], NODE, FSID, 1, 3)])[0]
+    sb = bytearray(layout.SUPERBLOCK_BYTES)
+    sb[layout.FSID_AT : layout.FSID_AT + 16], sb[layout.MAGIC_AT : layout.MAGIC_AT + 8] = FSID, layout.MAGIC
+    for at, width, value in ((*layout.SUPERBLOCK["nodesize"], NODE), (*layout.SUPERBLOCK["chunk_tree_addr"], start), (layout.ARRAY_SIZE_AT, 4, len(array))):
+        sb[at : at + width] = value.to_bytes(width, "little")
+    sb[layout.ARRAY_AT : layout.ARRAY_AT + len(array)] = array
+    parts = spark.createDataFrame([(layout.SUPERBLOCK_AT, sb), (layout.SUPERBLOCK_AT + NODE, bytearray(leaf))], "off bigint, block binary")
+    got = recovery.read_superblock(_image_of(spark, parts, 2))
+    return superblock.chunk_table(spark, got["chunks"]).select(*_long("ord", "logical_start", "logical_end", "physical_start"))
+
+
+@query("SELECT kind, off, n FROM (VALUES ('boot', 0::BIGINT, 65536::BIGINT), ('volume', (65536 + 4096 * (2 + 1))::BIGINT, 7::BIGINT)) v(kind, off, n)")
+def s3_s4_boot_and_volume_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boot area and the bytes behind the last whole node of an image that has something in both (round trip)."""
+    path = _image_of(spark, spark.createDataFrame([(5, bytearray(b"BOOT"))], "off bigint, block binary"), 2)
+    with open(path, "ab") as f:
+        f.write(b"trailer")
+    got = recovery.edges_of_image(spark, path, NODE)
+    return got.select("kind", "off", F.octet_length("bytes").cast("bigint").alias("n"))
+
+
 # Analogues on table columns.
 
 
@@ -414,3 +471,15 @@ def p13_little_endian(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(encoded(key * 1000003 + 7, 8), encoded(key % 65536, 2), F.when(key % 5 == 0, zeros(3)).otherwise(F.unhex(F.lit("000100"))))
     b = _read(spark, sf_dir, "customer").select("c_custkey", raw.alias("b"))
     return b.select("c_custkey", field("b", 0, 8).cast("bigint").alias("u64"), field("b", 8, 2).alias("u16"), (~any_set(F.substring("b", 11, 3))).alias("zero"))
+
+
+@query("""
+SELECT p_partkey, CASE p_size % 4 WHEN 1 THEN 'zlib' WHEN 2 THEN 'lzo' WHEN 3 THEN 'zstd' ELSE 'unknown(0)' END AS compression,
+  CASE p_size % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN 'file' ELSE 'dir' END AS file_type,
+  CASE p_size WHEN 1 THEN 'INODE_ITEM' WHEN 12 THEN 'INODE_REF' WHEN 13 THEN 'INODE_EXTREF' WHEN 24 THEN 'XATTR_ITEM' WHEN 48 THEN 'ORPHAN_ITEM' END AS item_type FROM part""")
+def c10_c11_code_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of codes."""
+    size = F.col("p_size")
+    return _read(spark, sf_dir, "part").select(
+        "p_partkey", text.compression_name(size % 4).alias("compression"), text.file_type_name(size % 3).alias("file_type"), text.type_name(size).alias("item_type")
+    )
