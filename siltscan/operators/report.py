@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltscan.functions.text import size_string
 from siltscan import layout
+from siltscan.functions.text import size_string
 
 #: Counters in the report; the rest are flags.
 COUNTERS = (
@@ -40,18 +40,29 @@ def defrag_warning(orphans: Column, scanned: Column, used: Column, total: Column
     return F.coalesce(few & full, F.lit(False))
 
 
+def _side_by_side(parts: list[DataFrame]) -> DataFrame:
+    """Tables of one row of BIGINT columns as one such table.
+
+    Their values are laid under each other by name and picked out by one aggregate, so the parts run as stages of one
+    job, where a chain of cross joins would broadcast them one after the other.
+    """
+    names = [c for p in parts for c in p.columns]
+    long = [p.select(F.explode(F.create_map(*[x for c in p.columns for x in (F.lit(c), F.col(c).cast("bigint"))])).alias("name", "value")) for p in parts]
+    return reduce(DataFrame.unionAll, long).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
+
+
 def stats(t: dict[str, DataFrame], nodes_scanned: int, sb: dict) -> DataFrame:
-    """The counters and flags as one row. Each table is aggregated on its own, and the single rows are put side by side."""
+    """The counters and flags as one row. Each table is aggregated on its own."""
 
-    def rows(name: str, out: str, condition: Column | None = None) -> DataFrame:
-        return t[name].agg((F.count("*") if condition is None else _sum(condition)).alias(out))
+    def rows(name: str, out: str) -> DataFrame:
+        return t[name].agg(F.count("*").alias(out))
 
     regular = t["regular_files"].agg(
         _sum(F.col("state") == "recovered").alias("regular_extents_recovered"),
         _sum(F.col("state") == "failed").alias("regular_extents_failed"),
         F.count("*").alias("regular"),
     )
-    parts = [
+    one = _side_by_side([
         node_counters(t["nodes"]),
         t["leaf_items"].agg(_sum((F.col("phase") == 1) & (F.col("route") == "leaf")).alias("orphan_items_found")),
         rows("root_anomalies", "root_item_anomalies"),
@@ -62,8 +73,7 @@ def stats(t: dict[str, DataFrame], nodes_scanned: int, sb: dict) -> DataFrame:
         rows("moves", "move_artifacts_found"),
         rows("inline_files", "inline_files_recovered"),
         regular,
-    ]
-    one = reduce(lambda a, b: a.crossJoin(b), parts)
+    ])
     one = one.withColumns({"nodes_scanned": F.lit(nodes_scanned).cast("bigint"), "total_artifacts": F.col("inline_files_recovered") + F.col("regular")})
     used, total = F.lit(float(sb["bytes_used"])), F.lit(float(sb["total_bytes"]))
     return one.select(
@@ -83,34 +93,35 @@ def recovered_files(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def _listed(df: DataFrame, name: str) -> DataFrame:
-    """One row: the rows of ``df`` as an array in order of the scan, without their positions."""
+    """(name, json): the rows of ``df`` as an array in order of the scan, without their positions; absent fields are left out."""
     columns = [c for c in df.columns if c != "pos"]
-    each = F.array_sort(F.collect_list(F.struct("pos", *columns)))
-    return df.agg(F.transform(each, lambda x: F.struct(*[x[c].alias(c) for c in columns])).alias(name))
+    each = F.array_sort(F.collect_list(F.struct("pos", F.struct(*columns).alias("row"))))
+    return df.agg(F.to_json(F.transform(each, lambda x: x["row"]), {"pretty": "true"}).alias("json")).select(F.lit(name).alias("name"), "json")
 
 
-def report(t: dict[str, DataFrame]) -> DataFrame:
-    """The report as one row of nested columns, for recoveries of a size that a person reads; the tables hold the rest."""
-    meta = t["inode_metadata"].agg(
-        F.map_from_entries(F.collect_list(F.struct(F.concat_ws("_", F.col("inode").cast("string"), F.col("gen").cast("string")), "meta"))).alias("inode_metadata")
-    )
-    pointers = t["orphan_pointers"].withColumn("pos", F.struct("parent_offset", "slot"))
+def report_parts(t: dict[str, DataFrame]) -> DataFrame:
+    """(name, json) of each part of the report."""
+    key = F.concat_ws("_", F.col("inode").cast("string"), F.col("gen").cast("string"))
+    meta = t["inode_metadata"].agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, "meta"))), {"pretty": "true"}).alias("json"))
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    stats_ = t["stats"].select(F.lit("stats").alias("name"), F.to_json(F.struct("*"), {"pretty": "true"}).alias("json"))
     parts = [
-        t["stats"].select(F.struct("*").alias("stats")),
+        stats_,
+        t["superblock"].select(F.lit("generated_at").alias("name"), F.concat(F.lit('"'), now, F.lit('"')).alias("json")),
         _listed(recovered_files(t), "recovered_files"),
-        meta,
+        meta.select(F.lit("inode_metadata").alias("name"), "json"),
         _listed(t["extent_backrefs"].drop("extent_objectid"), "extent_backrefs"),
-        _listed(pointers, "orphan_child_ptrs"),
+        _listed(t["orphan_pointers"].withColumn("pos", F.struct("parent_offset", "slot")), "orphan_child_ptrs"),
         _listed(t["moves"], "move_artifacts"),
         _listed(t["devices"], "device_info"),
     ]
-    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-    return reduce(lambda a, b: a.crossJoin(b), parts).withColumn("generated_at", now)
+    return reduce(DataFrame.unionAll, parts)
 
 
 def report_json(t: dict[str, DataFrame]) -> DataFrame:
-    """The report as one JSON string; absent fields are left out."""
-    return report(t).select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("json"))
+    """The report as one JSON string, for recoveries of a size that a person reads; the tables hold the rest."""
+    part = F.concat(F.lit('"'), "name", F.lit('" : '), "json")
+    return report_parts(t).agg(F.concat(F.lit("{\n"), F.concat_ws(",\n", F.array_sort(F.collect_list(part))), F.lit("\n}\n")).alias("json"))
 
 
 def summary(t: dict[str, DataFrame], limit: int = 200) -> str:

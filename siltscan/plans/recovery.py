@@ -42,7 +42,7 @@ def recover_blocks(
     t["inode_metadata"] = decode.first_inode_metadata(t["inode_items"])
     t["name_events"] = keep(decode.name_events(t["leaf_items"]))
     t["names"] = names.final_names(t["name_events"])
-    t["moves"] = names.moves(t["name_events"])
+    t["moves"] = keep(names.moves(t["name_events"]))
     t["file_extents"] = decode.file_extents(t["leaf_items"])
     named = names.resolved(t["file_extents"], t["name_events"])
     t["inline_files"] = keep(extents.inline_files(named))
