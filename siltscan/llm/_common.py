@@ -65,6 +65,20 @@ class Memo(dict):
         return value
 
 
+_HELD: list = [None, None]
+
+
+def per_worker(key, build: Callable):
+    """What ``build`` makes, kept by this Python worker until it is asked for something with another key.
+
+    A worker serves one operator after the other; holding one operator's tables and memo at a time bounds its memory.
+    """
+    if _HELD[0] != key:
+        _HELD[:] = None, None
+        _HELD[:] = key, build()
+    return _HELD[1]
+
+
 def by_size(texts: list[str | None]) -> Iterator[list[str | None]]:
     """Runs of texts of about ``GROUP_CHARS`` characters; a longer text is a run of its own."""
     run, size = [], 0

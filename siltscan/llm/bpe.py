@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from siltscan.llm._common import MEMO_ENTRIES, by_size, map_rows
+from siltscan.llm._common import MEMO_ENTRIES, by_size, map_rows, per_worker
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -186,14 +186,8 @@ class Bpe:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_CODECS: dict[tuple[bytes, str], Bpe] = {}
-
-
 def codec(ranks_file: bytes, pattern: str) -> Bpe:
-    if (ranks_file, pattern) not in _CODECS:
-        _CODECS.clear()
-        _CODECS[ranks_file, pattern] = Bpe(ranks_file, pattern)
-    return _CODECS[ranks_file, pattern]
+    return per_worker(("bpe", ranks_file, pattern), lambda: Bpe(ranks_file, pattern))
 
 
 def _ids_array(packed: list[bytes | None]) -> pa.ListArray:

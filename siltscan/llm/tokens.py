@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siltscan.llm._common import MEMO_ENTRIES, by_size, map_rows
+from siltscan.llm._common import MEMO_ENTRIES, by_size, map_rows, per_worker
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -231,15 +231,8 @@ class UnigramCounter:
         return out
 
 
-_COUNTERS: dict[bytes, UnigramCounter] = {}
-
-
 def counter(model: bytes) -> UnigramCounter:
-    """One counter per Python worker and model."""
-    if model not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[model] = UnigramCounter(vocabulary(model))
-    return _COUNTERS[model]
+    return per_worker(("unigram", model), lambda: UnigramCounter(vocabulary(model)))
 
 
 def token_counts(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltscan.llm._common import Memo, map_rows
+from siltscan.llm._common import Memo, map_rows, per_worker
 from siltscan.llm.neardup import MinHash
 
 #: term -> severity. A starting lexicon of public everyday insults; pass another to ``toxic_documents``.
@@ -154,15 +154,9 @@ def score(text: str, automaton: LexiconAutomaton, lexicon: dict[str, float]) ->
     return total, sorted({memo[words[i]][0] for i in hits})
 
 
-_AUTOMATA: dict[tuple, LexiconAutomaton] = {}
-
-
 def automaton_of(lexicon: dict[str, float], learned: dict[str, float] | None = None) -> LexiconAutomaton:
-    key = (tuple(sorted(lexicon)), tuple(sorted(learned or ())))
-    if key not in _AUTOMATA:
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = LexiconAutomaton(*key)
-    return _AUTOMATA[key]
+    terms = tuple(sorted(lexicon)), tuple(sorted(learned or ()))
+    return per_worker(("toxicity", terms), lambda: LexiconAutomaton(*terms))
 
 
 def learned_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
