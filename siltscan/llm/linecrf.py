@@ -116,12 +116,11 @@ class LineCrf:
         return out[::-1]
 
     def fit(self, docs: list[tuple[np.ndarray, int]]) -> LineCrf:
-        """Full-batch Adam on the mean log-likelihood of the label sequences, forward and backward over padded documents."""
+        """Full-batch Adam on the mean log-likelihood of the label sequences, forward and backward over all documents in step."""
         docs = [(rows, label) for rows, label in docs if len(rows)]
         if not docs:
             return self
         docs.sort(key=lambda x: -len(x[0]))
-        n = len(docs)
         size = np.array([len(r) for r, _ in docs])
         first = np.concatenate(([0], np.cumsum(size)[:-1]))
         rows, gold = np.concatenate([r for r, _ in docs]), np.array([y for _, y in docs])
@@ -136,30 +135,29 @@ class LineCrf:
         for k in range(1, ROUNDS + 1):
             w, start, step = theta[:WIDTH], theta[WIDTH : WIDTH + 2], theta[WIDTH + 2 :].reshape(2, 2)
             emit = w[rows].sum(axis=1)
-            forward = np.zeros((len(active), n, 2))
-            backward = np.zeros((len(active), n, 2))
-            forward[0] = start
-            forward[0, :, 1] += emit[first]
+            # One row per line of all documents, so that a long document doesn't pad the others.
+            forward, backward = np.zeros((len(rows), 2)), np.zeros((len(rows), 2))
+            forward[first] = start
+            forward[first, 1] += emit[first]
             for t in range(1, len(active)):
-                a = active[t]
-                forward[t, :a] = np.logaddexp(forward[t - 1, :a, :1] + step[0], forward[t - 1, :a, 1:] + step[1])
-                forward[t, :a, 1] += emit[first[:a] + t]
+                at = first[: active[t]] + t
+                before = forward[at - 1]
+                forward[at] = np.logaddexp(before[:, :1] + step[0], before[:, 1:] + step[1])
+                forward[at, 1] += emit[at]
             for t in range(len(active) - 2, -1, -1):
-                a = active[t + 1]
-                ahead = backward[t + 1, :a].copy()
-                ahead[:, 1] += emit[first[:a] + t + 1]
-                backward[t, :a] = np.logaddexp(ahead[:, None, 0] + step[:, 0], ahead[:, None, 1] + step[:, 1])
-            z = np.logaddexp(*forward[size - 1, np.arange(n)].T)
-            want_step, post = np.zeros((2, 2)), np.zeros(len(rows))
-            for t, a in enumerate(active):
-                p = np.exp(forward[t, :a] + backward[t, :a] - z[:a, None])
-                post[first[:a] + t] = p[:, 1]
-                if t == 0:
-                    want_start = p.sum(axis=0)
-                if t + 1 < len(active) and (a := active[t + 1]):
-                    ahead = backward[t + 1, :a].copy()
-                    ahead[:, 1] += emit[first[:a] + t + 1]
-                    want_step += np.exp(forward[t, :a, :, None] + step + ahead[:, None, :] - z[:a, None, None]).sum(axis=0)
+                at = first[: active[t + 1]] + t
+                ahead = backward[at + 1]
+                ahead[:, 1] += emit[at + 1]
+                backward[at] = np.logaddexp(ahead[:, None, 0] + step[:, 0], ahead[:, None, 1] + step[:, 1])
+            z = np.repeat(np.logaddexp(*forward[first + size - 1].T), size)
+            p = np.exp(forward + backward - z[:, None])
+            post, want_start = p[:, 1], p[first].sum(axis=0)
+            inner = np.ones(len(rows), dtype=bool)
+            inner[first] = False
+            to = np.flatnonzero(inner)
+            ahead = backward[to].copy()
+            ahead[:, 1] += emit[to]
+            want_step = np.exp(forward[to - 1][:, :, None] + step + ahead[:, None, :] - z[to][:, None, None]).sum(axis=0)
             want_rows = np.bincount(rows.ravel(), weights=np.repeat(post, rows.shape[1]), minlength=WIDTH)
             slope = np.concatenate([gold_rows - want_rows, gold_start - want_start, (gold_step - want_step).ravel()]) / total - DECAY * theta
             m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
