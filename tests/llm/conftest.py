@@ -1,9 +1,9 @@
-import os
 import sys
+from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+sys.path.append(str(Path(__file__).parent))
 
 from llm_rows import ROWS, SCHEMA  # noqa: E402
 
