@@ -14,8 +14,8 @@ from siltscan.plans.recovery import run_recovery_engine
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="siltscan", description="Recover deleted data from a raw image.")
     parser.add_argument("image")
-    parser.add_argument("-o", "--output", default="recovered", help="folder for what is recovered")
-    parser.add_argument("--no-current-gen", action="store_true", help="leave current nodes alone")
+    parser.add_argument("--output", "-o", metavar="FOLDER", help="where to put what is recovered", default="recovered")
+    parser.add_argument("--no-current-gen", help="leave current nodes alone", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("siltscan").getOrCreate()
     try:

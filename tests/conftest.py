@@ -1,10 +1,12 @@
 import os
 import sys
+from pathlib import Path
 
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
+TESTS = Path(__file__).resolve().parent
+ROOT = str(TESTS.parent)
+sys.path[:0] = [ROOT, str(TESTS)]
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
 
 
