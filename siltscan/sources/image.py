@@ -18,8 +18,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from siltscan import layout
 
-#: Bytes of image a partition covers, and of blocks in a record batch.
-RANGE_BYTES, BATCH_BYTES = 64 << 20, 16 << 20
+#: Bytes of image a partition covers at least, partitions of an image at most, and bytes of blocks in a record batch.
+RANGE_BYTES, MOST_RANGES, BATCH_BYTES = 64 << 20, 20_000, 16 << 20
 
 
 def open_image(path: str) -> tuple[pafs.FileSystem, str]:
@@ -60,11 +60,13 @@ class BlockReader(DataSourceReader):
         if self.nodesize <= layout.HEADER_BYTES:
             raise ValueError(f"nodesize must be more than {layout.HEADER_BYTES}")
         self.fsid = bytes.fromhex(options.get("fsid", ""))
-        self.span = max(1, int(options.get("rangebytes", RANGE_BYTES)) // self.nodesize)
+        self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
 
     def partitions(self) -> list[InputPartition]:
-        n = block_count(image_size(self.path), self.nodesize)
-        return [Range(i, min(n, i + self.span)) for i in range(0, n, self.span)] or [Range(0, 0)]
+        size = image_size(self.path)
+        n = block_count(size, self.nodesize)
+        span = max(1, self.range_bytes // self.nodesize, n // MOST_RANGES)
+        return [Range(i, min(n, i + span)) for i in range(0, n, span)] or [Range(0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         size, first = self.nodesize, layout.SUPERBLOCK_AT + self.nodesize
