@@ -120,7 +120,7 @@ WITH units AS (
     row_number() OVER (PARTITION BY shard, source ORDER BY block) - 1 AS k
   FROM there
 ), seats AS (
-  SELECT shard, floor(count(*) * {FRACTION}) AS n_seats FROM there GROUP BY shard
+  SELECT shard, floor(count(*) * {FRACTION}::DOUBLE) AS n_seats FROM there GROUP BY shard
 ), quotients AS (
   SELECT shard, source, row_number() OVER (PARTITION BY shard ORDER BY weight / (2 * k + 1) DESC, source) AS seat
   FROM picks JOIN totals USING (source) WHERE weight > 0
