@@ -33,12 +33,15 @@ from pyspark.sql import functions as F
 from siltscan.llm._common import Memo, map_rows, per_worker
 from siltscan.llm.neardup import MinHash
 
-#: term -> severity. A starting lexicon of public everyday insults; pass another to ``toxic_documents``.
+#: term -> severity. A starting lexicon of public everyday insults; pass another to ``toxic_documents``. Insults that are
+#: one edit from common words (of other languages too) are left out, as ``ORDINARY`` can't list all of these.
 LEXICON = {
     **dict.fromkeys(["idiot", "moron", "stupid", "loser", "scum", "clown", "trash", "worthless", "pathetic", "disgusting"], 1.0),
-    **dict.fromkeys(["imbecile", "dumbass", "jackass", "asshole", "bastard", "bitch", "cretin", "dimwit", "lowlife"], 1.0),
-    **dict.fromkeys(["scumbag", "retard", "vermin", "degenerate", "shithead", "fuckwit", "motherfucker", "wanker"], 1.0),
+    **dict.fromkeys(["imbecile", "dumbass", "jackass", "asshole", "bastard", "bitch", "dimwit", "lowlife"], 1.0),
+    **dict.fromkeys(["scumbag", "shithead", "fuckwit", "motherfucker"], 1.0),
 }
+#: Words that are no misspellings, though near a term.
+ORDINARY = frozenset("apathetic bustard dastard jackals stupa studio stupor worthiness".split())
 REPORTING = frozenset(
     "said says say wrote writes quoted quote quotes quoting called calls calling word words term terms slur insult insults "
     "insulting phrase tweet comment alleged reported claimed sagte schrieb nannte wort dit écrit appelé mot dijo escribió llamó palabra".split()
@@ -54,7 +57,7 @@ COPY = 60
 
 
 def edits_for(term: str) -> int:
-    return 0 if len(term) < 6 else 1 if len(term) < 10 else 2
+    return 0 if len(term) < 6 else 1 if len(term) < 12 else 2
 
 
 class LexiconAutomaton:
@@ -120,6 +123,8 @@ class LexiconAutomaton:
         return to
 
     def match(self, word: str) -> tuple[str, int] | None:
+        if word in ORDINARY and word not in self.edits:
+            return None
         word = word.translate(ALIKE) if any(map(str.isalpha, word)) else word
         state, alphabet, moves = self.start, self.alphabet, self.moves
         for c in word:

@@ -37,7 +37,7 @@ def test_automaton_equals_edit_distance():
         words.append("".join(c))
     for w in words:
         near = sorted((edits(w, t), t) for t in lexicon if edits(w, t) <= toxicity.edits_for(t))
-        assert a.match(w) == ((near[0][1], near[0][0]) if near else None), w
+        assert a.match(w) == ((near[0][1], near[0][0]) if near and w not in toxicity.ORDINARY else None), w
     assert a.match("") is None and a.match("1") is None
 
 
@@ -48,7 +48,7 @@ def score(text):
 def test_misspellings_and_ordinary_words():
     for text in ("what an idiot", "1d10t", "such a l0ser", "worthles and patetic", "st*pid st!pid", "$$$ stupid$$$ ###", "dizgusting dissgusting"):
         assert score(text)[0] >= 0.6 and score(text)[1], text
-    for text in ("oron and oser, a closer cloven crown", "scam scun trask thrash rash", "atheti idio", "", "123 45", "trust me, studio"):
+    for text in ("oron and oser, a closer cloven crown", "scam scun trask thrash rash", "atheti idio", "", "123 45", "trust me, studio", "apathetic discussing", "Verein regard banker regenerate"):
         assert score(text) == (0.0, []), text
 
 
