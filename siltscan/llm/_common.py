@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Rows up to which a lookup table is broadcast; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 100_000
 #: Entries of a Python worker's memo of words; a full memo is emptied, so its size never follows the corpus.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 400_000
 #: Characters of text that a worker takes apart at a time.
 GROUP_CHARS = 2_000_000
 
@@ -93,12 +93,18 @@ def by_size(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield run
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Short runs of the batches' rows, so that a worker holds the objects and results of few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``df.mapInArrow`` with a function of one batch."""
+    """``df.mapInArrow`` with a function of a short batch."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield fn(batch)
+        yield from map(fn, slices(batches))
 
     return df.mapInArrow(over, schema)
 

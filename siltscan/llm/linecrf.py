@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltscan.llm._common import by_size
+from siltscan.llm._common import by_size, slices
 
 SAMPLE, SHARE, ROUNDS, RATE, DECAY = 2_000, 0.5, 80, 0.15, 1e-3
 LICENCE = re.compile(r"licen[sc]ed? under|all rights reserved|copyright|apache license|mit license|cookie policy|terms of (use|service)|©", re.I)
@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineCrf:
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [features([lines_of(t)]) if t else np.zeros((0, len(FEATURES)), dtype=np.int16) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), batch.column(1).cast(pa.int32())], ["rows", "quality"])
 
@@ -205,7 +205,7 @@ def content_shares(docs: DataFrame, crf: LineCrf, id_col: str = "doc_id", text_c
     """``id_col`` and ``content_share`` of every row; null without lines. A narrow map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             shares = crf.shares(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shares, pa.float64())], [id_col, "content_share"])
 

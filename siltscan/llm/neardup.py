@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltscan.llm._common import cut, kept_columns
+from siltscan.llm._common import cut, kept_columns, slices
 
 SYMBOLS, RADIUS, SEED = 96, 40, 20240607
 WORD = re.compile(r"\w+")
@@ -68,7 +68,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = MinHash()
-        for batch in batches:
+        for batch in slices(batches):
             sigs = [make.signature(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary())], ["doc_id", "sig"])
 

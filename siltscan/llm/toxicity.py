@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltscan.llm._common import Memo, map_rows, per_worker
+from siltscan.llm._common import Memo, map_rows, per_worker, slices
 from siltscan.llm.neardup import MinHash
 
 #: term -> severity. A starting lexicon of public everyday insults; pass another to ``toxic_documents``. Insults that are
@@ -176,7 +176,7 @@ def learned_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> d
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = MinHash()
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(0).to_pylist()
             sigs = [make.signature(t) for t in texts]
             found = ["\n".join(sorted({w for w in WORD.findall(t.lower()) if w.isalpha()})) if t else "" for t in texts]
@@ -247,6 +247,6 @@ def without_toxic(docs: DataFrame, lexicon: dict[str, float] = LEXICON, learned:
         keep = [not t or score(t, automaton, severity)[0] + 1e-9 < threshold for t in texts]
         return batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(lambda batches: map(run, batches), docs.schema)
+    return docs.mapInArrow(lambda batches: map(run, slices(batches)), docs.schema)
 
 
