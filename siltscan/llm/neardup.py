@@ -1,8 +1,9 @@
 """MinHash near-duplicate groups through a multi-index Hamming join.
 
 A document's words (lower case, runs of letters and digits) give word-pair shingles, ``SYMBOLS`` min-hashes and from
-each the lowest 8 bits: a signature of ``SYMBOLS`` 8-bit symbols, whose expected share of equal symbols is the
-shingles' Jaccard similarity. Two documents are near duplicates when their signatures differ in at most ``RADIUS``
+each, mixed with a salt of its own, 8 bits: a signature of ``SYMBOLS`` 8-bit symbols, whose expected share of equal
+symbols is the shingles' Jaccard similarity. Unmixed low bits would depend on the low bits of the shingle only, and
+unrelated texts of few shingles would get equal signatures. Two documents are near duplicates when their signatures differ in at most ``RADIUS``
 symbols; a group is a connected component of that relation.
 
 The join is exact. The symbols are split into chunks, chunk i tolerating e_i errors with sum(e_i + 1) > RADIUS, so by
@@ -42,6 +43,7 @@ class MinHash:
         rng = np.random.default_rng(seed)
         self.a = rng.integers(0, 1 << 32, symbols, dtype=np.uint32) | np.uint32(1)
         self.b = rng.integers(0, 1 << 32, symbols, dtype=np.uint32)
+        self.salt = rng.integers(0, 1 << 32, symbols, dtype=np.uint32) | np.uint32(1)
 
     @staticmethod
     def shingles(text: str) -> np.ndarray:
@@ -53,14 +55,24 @@ class MinHash:
         h ^= h >> np.uint64(31)
         return ((h * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)).astype(np.uint32)
 
-    def signature(self, text: str | None) -> bytes | None:
+    def minima(self, text: str | None) -> np.ndarray | None:
         s = self.shingles(text) if text else ()
         if not len(s):
             return None
         low = np.full(len(self.a), 0xFFFFFFFF, dtype=np.uint32)
         for i in range(0, len(s), BLOCK):
             np.minimum(low, (s[i : i + BLOCK, None] * self.a + self.b).min(axis=0), out=low)
-        return (low & np.uint32(0xFF)).astype(np.uint8).tobytes()
+        return low
+
+    def signature(self, text: str | None) -> bytes | None:
+        """The lowest 8 bits of each minimum, unmixed."""
+        low = self.minima(text)
+        return None if low is None else (low & np.uint32(0xFF)).astype(np.uint8).tobytes()
+
+    def mixed(self, text: str | None) -> bytes | None:
+        """8 bits of each minimum that depend on all of its bits."""
+        low = self.minima(text)
+        return None if low is None else (((low ^ (low >> np.uint32(16))) * self.salt) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -69,7 +81,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = MinHash()
         for batch in slices(batches):
-            sigs = [make.signature(t) for t in batch.column(1).to_pylist()]
+            sigs = [make.mixed(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary())], ["doc_id", "sig"])
 
     src = docs.select("doc_id", "text").where("doc_id IS NOT NULL")

@@ -178,7 +178,7 @@ def learned_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> d
         make = MinHash()
         for batch in slices(batches):
             texts = batch.column(0).to_pylist()
-            sigs = [make.signature(t) for t in texts]
+            sigs = [make.mixed(t) for t in texts]
             found = ["\n".join(sorted({w for w in WORD.findall(t.lower()) if w.isalpha()})) if t else "" for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(sigs, pa.binary()), pa.array(found, pa.string())], ["toxic", "sig", "words"])
 

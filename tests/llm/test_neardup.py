@@ -89,6 +89,24 @@ def test_signature_is_the_minimum_of_each_hash():
     assert [m.signature(t) for t in (None, "", " \n", "!?")] == [None] * 4 and m.signature("word") is not None
 
 
+def test_short_texts_stay_apart():
+    """Unmixed, 4,000 texts of one shingle had 256 signatures in all."""
+    m, rng = neardup.MinHash(), random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(9000)]
+    texts = words[:2000] + [f"{a} {b}" for a, b in zip(words[2000:4000], words[4000:6000])] + [" ".join(words[i : i + 3]) for i in range(6000, 9000, 3)]
+    sigs = np.stack([np.frombuffer(m.mixed(t), dtype=np.uint8) for t in texts])
+    assert all(np.count_nonzero(sigs[i + 1 :] != s, axis=1).min() > neardup.RADIUS for i, s in enumerate(sigs[:-1]))
+    # The share of equal symbols is still the Jaccard similarity.
+    a, b = " ".join(words[:401]), " ".join([*words[:301], *words[500:600]])
+    assert abs(distance(m.mixed(a), m.mixed(b)) / neardup.SYMBOLS - 0.4) < 0.15
+
+
+def test_distinct_short_documents_are_all_kept(spark):
+    rows = [(i, f"word{i}" + (f" next{i}" if i % 2 else "") + (f" third{i}" if i % 4 == 3 else "")) for i in range(2000)] + [(5000, "Word7, next7 third7")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.keep_id for r in neardup.near_duplicates(df).collect()} == {5000: 7}
+
+
 def planted():
     """Originals, copies with words replaced here and there, punctuation and case changed, and unrelated texts with a shared passage."""
     rng = random.Random(8)
