@@ -52,6 +52,18 @@ def test_misspellings_and_ordinary_words():
         assert score(text) == (0.0, []), text
 
 
+def test_one_misspelling_or_learned_word_suffices():
+    for text in ("you are pathetik", "what a pathetik show", "a motherfukcer came"):
+        assert score(text)[0] >= toxicity.THRESHOLD, text
+    assert score('he wrote "pathetik" and left')[0] < score("«pathetik» “pathetik”")[0] < toxicity.THRESHOLD
+    rng = np.random.default_rng(4)
+    rows = [(rng.integers(0, 256, 96, dtype=np.uint8).tobytes(), w, t) for w, t, n in (("gut", 0, 300), ("gut\nzorblig", 1, 30)) for _ in range(n)]
+    learned = toxicity.terms_of(rows)
+    one = toxicity.score("das ist zorblig", toxicity.automaton_of(toxicity.LEXICON, learned), {**learned, **toxicity.LEXICON})[0]
+    near = toxicity.score("du bist zorblig", toxicity.automaton_of(toxicity.LEXICON, learned), {**learned, **toxicity.LEXICON})[0]
+    assert near > one >= toxicity.THRESHOLD
+
+
 def test_quotation_counts_less_than_abuse():
     abuse, plain = score("you are an idiot")[0], score("the idiot came")[0]
     quoted, reported = score('the sign "idiot" hung there')[0], score('he wrote "idiot" and left')[0]
