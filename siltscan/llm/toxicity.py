@@ -34,12 +34,14 @@ from pyspark.sql import functions as F
 from siltscan.llm._common import Memo, map_rows, per_worker, slices
 from siltscan.llm.neardup import MinHash
 
-#: term -> severity. A starting lexicon of public everyday insults; pass another to ``toxic_documents``. Insults that are
-#: one edit from common words (of other languages too) are left out, as ``ORDINARY`` can't list all of these.
+#: Insults that are one edit from common words (of other languages too) match exactly only, as ``ORDINARY`` can't list all of these.
+EXACT = frozenset("cretin degenerate retard vermin wanker".split())
+#: term -> severity. A starting lexicon of public everyday insults; pass another to ``toxic_documents``.
 LEXICON = {
     **dict.fromkeys(["idiot", "moron", "stupid", "loser", "scum", "clown", "trash", "worthless", "pathetic", "disgusting"], 1.0),
     **dict.fromkeys(["imbecile", "dumbass", "jackass", "asshole", "bastard", "bitch", "dimwit", "lowlife"], 1.0),
     **dict.fromkeys(["scumbag", "shithead", "fuckwit", "motherfucker"], 1.0),
+    **dict.fromkeys(EXACT, 1.0),
 }
 #: Words that are no misspellings, though near a term.
 ORDINARY = frozenset("apathetic bustard dastard jackals stupa studio stupor worthiness".split())
@@ -164,7 +166,7 @@ def score(text: str, automaton: LexiconAutomaton, lexicon: dict[str, float]) ->
 
 
 def automaton_of(lexicon: dict[str, float], learned: dict[str, float] | None = None) -> LexiconAutomaton:
-    terms = tuple(sorted(lexicon)), tuple(sorted(learned or ()))
+    terms = tuple(sorted(lexicon.keys() - EXACT)), tuple(sorted({*(learned or ()), *(EXACT & lexicon.keys())}))
     return per_worker(("toxicity", terms), lambda: LexiconAutomaton(*terms))
 
 

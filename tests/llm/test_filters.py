@@ -64,6 +64,13 @@ def test_one_misspelling_or_learned_word_suffices():
     assert near > one >= toxicity.THRESHOLD
 
 
+def test_insults_near_ordinary_words_match_exactly():
+    for term in sorted(toxicity.EXACT):
+        assert score(f"such a {term}") == (1.0, [term])
+    for text in ("cretan vermis regard degenerates regenerate", "retards Banker wankel"):
+        assert score(text) == (0.0, []), text
+
+
 def test_quotation_counts_less_than_abuse():
     abuse, plain = score("you are an idiot")[0], score("the idiot came")[0]
     quoted, reported = score('the sign "idiot" hung there')[0], score('he wrote "idiot" and left')[0]
