@@ -1,7 +1,7 @@
 """Secret scans: corpus-wide ownership frequency of candidate credentials.
 
-Candidates come from one pass of a regular expression over whole texts, spared where a cheap test rules any match out: credential assignments and self-describing
-key formats, kept where they have ``MIN_LENGTH`` characters, ``MIN_DISTINCT`` distinct ones, and a letter and a digit.
+Candidates come from one pass of a regular expression over whole texts, spared where a cheap test rules any match out: credential assignments, quoted or not, self-describing
+key formats and PEM private keys, each taken whole however long, kept where they have ``MIN_LENGTH`` characters, ``MIN_DISTINCT`` distinct ones, and a letter and a digit.
 Each distinct (document, candidate) is hashed, and the corpus counts how many owners, repositories and documents hold
 a hash. One held by more than ``MAX_OWNERS`` owners is a widely copied example; any other is owner-specific and
 looks live. The owner is a document's ``source``; a repository is a source's texts in one language.
@@ -17,16 +17,27 @@ from pyspark.sql import functions as F
 from siltscan.llm._common import BROADCAST_ROWS, cut
 
 NAME = (
-    "(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Pp]asswd|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|"
-    "[Aa]ccess[_-]?[Kk]ey|ACCESS[_-]?KEY|[Pp]rivate[_-]?[Kk]ey|[Cc]lient[_-]?[Ss]ecret)"
+    "(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Pp]asswd|PASSWD|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|"
+    "[Aa]ccess[_-]?[Kk]ey|ACCESS[_-]?KEY|[Pp]rivate[_-]?[Kk]ey|[Cc]lient[_-]?[Ss]ecret|[A-Za-z0-9][_-](?:KEY|[Kk]ey)|[a-z]Key)"
 )
-ASSIGNED = NAME + "[\"']?[ \\t]*[:=][ \\t]*[\"'][A-Za-z0-9_/+=.-]{16,200}[\"']"
+VALUE = "[A-Za-z0-9_/+=.-]"
+#: Unquoted, a value doesn't end in a full stop and is no call, index or object's member.
+BARE = VALUE + "{15,}[A-Za-z0-9_/+=-](?![A-Za-z0-9_/+=(\\[-]|[.]+[A-Za-z0-9_/+=-])"
+ASSIGNED = NAME + "[\"']?[ \\t]*[:=][ \\t]*(?:[\"']" + VALUE + "{16,}+[\"']|" + BARE + ")"
+#: The first form of a JWT is only tried where a run starts, so that a run of many of its beginnings is read once.
 FORMATS = (
-    "AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|xox[abprs]-[A-Za-z0-9-]{10,72}|"
-    "AIza[0-9A-Za-z_-]{35}|[rs]k_live_[0-9a-zA-Z]{24}|eyJ[A-Za-z0-9_-]{10,400}[.]eyJ[A-Za-z0-9_-]{10,900}[.][A-Za-z0-9_-]{10,400}"
+    "AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36,}+|glpat-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|"
+    "AIza[0-9A-Za-z_-]{35}|[rs]k_live_[0-9a-zA-Z]{24,}+|"
+    "(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+[.]eyJ[A-Za-z0-9_-]{10,}+[.][A-Za-z0-9_-]{10,}+|"
+    "eyJ[A-Za-z0-9_-]{10,400}[.]eyJ[A-Za-z0-9_-]{10,900}[.][A-Za-z0-9_-]{10,}+"
+)
+#: With headers, and with line breaks that are escaped.
+PEM = (
+    "-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:\\s|\\\\[nrt]){0,8}(?:[A-Za-z-]{1,40}: [^\\r\\n\\\\]{0,200}(?:[\\r\\n]|\\\\[nr]){1,8}){0,8}"
+    "[A-Za-z0-9+/=\\s\\\\]*+-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"
 )
-PATTERN = f"{ASSIGNED}|{FORMATS}"
-QUOTED = "[\"']([A-Za-z0-9_/+=.-]{16,200})[\"']$"
+PATTERN = f"{PEM}|{ASSIGNED}|{FORMATS}"
+QUOTED = "[:=][ \\t]*[\"']?(" + VALUE + "{16,})[\"']?$"
 MIN_LENGTH, MIN_DISTINCT, MAX_OWNERS = 16, 8, 2
 REDACTED = "[SECRET]"
 
@@ -36,8 +47,8 @@ def found(text: Column) -> Column:
 
 
 #: What any match must hold; far cheaper to look for than the pattern, whose alternatives start with common letters.
-ASSIGNS = "[:=][ \\t]*[\"']"
-PREFIXES = ("AKIA", "ghp_", "gho_", "ghs_", "ghu_", "glpat-", "xox", "AIza", "k_live_", "eyJ")
+ASSIGNS = "[:=][ \\t]*[\"']?" + VALUE + "{16}"
+PREFIXES = ("PRIVATE KEY", "AKIA", "ghp_", "gho_", "ghs_", "ghu_", "glpat-", "xox", "AIza", "k_live_", "eyJ")
 
 
 def may_match(text: Column) -> Column:
@@ -119,12 +130,23 @@ def _redacted(docs: DataFrame, by_doc: DataFrame, columns: list[str]) -> DataFra
     return joined.select(*[text.alias(c) if c == "text" else n.alias(c) if c == "n_chars" else docs[c] for c in columns])
 
 
+#: What the SQL looks for: the quoted form of the given tables with its bounds, which DuckDB's expressions can say.
+SQL_NAME = (
+    "(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Pp]asswd|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|"
+    "[Aa]ccess[_-]?[Kk]ey|ACCESS[_-]?KEY|[Pp]rivate[_-]?[Kk]ey|[Cc]lient[_-]?[Ss]ecret)"
+)
+SQL_PATTERN = (
+    SQL_NAME + "[\"']?[ \\t]*[:=][ \\t]*[\"'][A-Za-z0-9_/+=.-]{16,200}[\"']|"
+    "AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|xox[abprs]-[A-Za-z0-9-]{10,72}|"
+    "AIza[0-9A-Za-z_-]{35}|[rs]k_live_[0-9a-zA-Z]{24}|eyJ[A-Za-z0-9_-]{10,400}[.]eyJ[A-Za-z0-9_-]{10,900}[.][A-Za-z0-9_-]{10,400}"
+)
+SQL_QUOTED = "[\"']([A-Za-z0-9_/+=.-]{16,200})[\"']$"
 ORACLE = f"""
 WITH match AS (
-  SELECT doc_id, source, lang, unnest(regexp_extract_all(text, '{PATTERN.replace("'", "''")}', 0)) AS m FROM documents
+  SELECT doc_id, source, lang, unnest(regexp_extract_all(text, '{SQL_PATTERN.replace("'", "''")}', 0)) AS m FROM documents
 ), each AS (
   SELECT DISTINCT doc_id, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repo,
-    CASE WHEN regexp_matches(m, '{QUOTED.replace("'", "''")}') THEN regexp_extract(m, '{QUOTED.replace("'", "''")}', 1) ELSE m END AS secret
+    CASE WHEN regexp_matches(m, '{SQL_QUOTED.replace("'", "''")}') THEN regexp_extract(m, '{SQL_QUOTED.replace("'", "''")}', 1) ELSE m END AS secret
   FROM match
 ), kept AS (
   SELECT * FROM each WHERE length(secret) >= {MIN_LENGTH} AND len(list_distinct(string_split(secret, ''))) >= {MIN_DISTINCT}
