@@ -2,10 +2,12 @@
 
 A page is scanned once by a tokenising regular expression (no tree is built). Text goes to the innermost open
 container; each paragraph-like stretch of text scores it (a point, one for each comma, up to three for length), and text
-inside links counts against it. A container's path is its chain of tags with their first class, digits generalised to
+inside links counts against it. ``PASSED`` of a container's value counts for the one around it too, chrome aside, so that
+content split over several containers is won by what holds them all. A container's path is its chain of tags with their first class, digits generalised to
 ``#``. Every page votes for the path of its best container with that container's score; in Spark the votes of a host are
 summed and the highest total wins (ties: the first path by name). Each page is then extracted again by its host's path:
-the text of every container there, in order, or of the page's own best container where the page has none.
+the text of every container there, with all that it contains in document order but for chrome and containers of mostly
+linked text, or of the page's own best container where the page has none.
 
 Null or empty pages and pages without text give null text and path. Null hosts, and urls without a host, form one host
 ''. Broken markup never raises: unknown end tags are ignored and open elements close with their parents.
@@ -35,18 +37,22 @@ CHROME = frozenset("nav aside header footer form".split())
 DIGITS = re.compile(r"\d+")
 SPACES = re.compile(r"[ \t\r\f\v]+")
 LONG = 25
+#: Share of a container's value that its parent gets; share of linked text above which a container in another is left out.
+PASSED, LINKED = 0.7, 0.5
 
 
 class Container:
-    __slots__ = ("path", "score", "linked", "size", "parts", "chrome")
+    __slots__ = ("path", "score", "linked", "size", "parts", "chrome", "above", "own", "passed", "all_linked", "all_size")
 
-    def __init__(self, path: str, chrome: bool):
-        self.path, self.chrome = path, chrome
+    def __init__(self, path: str, chrome: bool, above: Container | None = None, own: bool = False):
+        """``own``: whether it is chrome itself, and not only in chrome. ``parts`` has the containers inside at their places."""
+        self.path, self.chrome, self.above, self.own = path, chrome, above, own
         self.score, self.linked, self.size, self.parts = 0.0, 0, 0, []
+        self.passed, self.all_linked, self.all_size = 0.0, 0, 0
 
 
 def scan(page: str) -> list[Container]:
-    """The page's containers in order of their start tags, each with its own text and not that of containers inside."""
+    """The page's containers in order of their start tags, each with its own text and the containers inside."""
     root = Container("", False)
     out, stack, opened = [root], [("", root)], {}
     at = links = 0
@@ -87,7 +93,8 @@ def scan(page: str) -> list[Container]:
             name = next(filter(None, found.groups()), "") if found else ""
             step = tag + ("." + DIGITS.sub("#", name.lower()) if name else "")
             above = stack[-1][1]
-            c = Container(f"{above.path}/{step}", above.chrome or tag in CHROME)
+            c = Container(f"{above.path}/{step}", above.chrome or tag in CHROME, above, tag in CHROME)
+            above.parts.append(c)
             out.append(c)
             stack.append((tag, c))
             opened[tag] = opened.get(tag, 0) + 1
@@ -101,18 +108,30 @@ def scan(page: str) -> list[Container]:
             links = 0
     if at < len(page):
         text(page[at:])
+    for c in reversed(out):  # those inside come before their container
+        c.all_linked += c.linked
+        c.all_size += c.size
+        if c.above is not None and not left_out(c):
+            c.above.all_linked += c.all_linked
+            c.above.all_size += c.all_size
+            c.above.passed += PASSED * value(c)
     return out
 
 
+def left_out(c: Container) -> bool:
+    """Whether what is extracted around it goes without it."""
+    return c.own or c.all_linked > LINKED * c.all_size
+
+
 def value(c: Container) -> float:
-    """Text score, less by the share of linked text; navigation and the like count a tenth."""
-    return c.score * (1 - c.linked / c.size) * (0.1 if c.chrome else 1.0) if c.size else 0.0
+    """Text score, less by the share of linked text, navigation and the like a tenth of it; and what containers inside pass on."""
+    return (c.score * (1 - c.linked / c.size) * (0.1 if c.chrome else 1.0) if c.size else 0.0) + c.passed
 
 
 def best(containers: list[Container]) -> tuple[str, float] | None:
     """Path and value of the page's best container, the first of equals; the one with most text if none scores."""
     top = max(containers, key=lambda c: (value(c), c.size - c.linked), default=None)
-    return (top.path, value(top)) if top is not None and top.size else None
+    return (top.path, value(top)) if top is not None and top.all_size else None
 
 
 def tidy(parts: list[str]) -> str:
@@ -120,17 +139,32 @@ def tidy(parts: list[str]) -> str:
     return "\n".join(x for x in lines if x)
 
 
+def subtree(c: Container) -> list[str]:
+    """The text parts of a container and of those inside that aren't left out, in order; without recursion, as pages may nest deeply."""
+    out, todo = [], [iter(c.parts)]
+    while todo:
+        for part in todo[-1]:
+            if isinstance(part, str):
+                out.append(part)
+            elif not left_out(part):
+                todo.append(iter(part.parts))
+                break
+        else:
+            todo.pop()
+    return out
+
+
 def extract(page: str | None, path: str | None) -> tuple[str | None, str | None]:
     """(path used, text) of the page."""
     if not page:
         return None, None
     containers = scan(page)
-    if path is None or not any(c.path == path and c.size for c in containers):
+    if path is None or not any(c.path == path and c.all_size for c in containers):
         own = best(containers)
         if own is None:
             return None, None
         path = own[0]
-    return path, "\n".join(filter(None, (tidy(c.parts) for c in containers if c.path == path and c.size)))
+    return path, "\n".join(filter(None, (tidy(subtree(c)) for c in containers if c.path == path and c.all_size)))
 
 
 def host_of(url: Column) -> Column:

@@ -126,6 +126,19 @@ def test_scan_and_text():
     assert text.split("\n") == ["Title", TEXT.replace("&amp;", "&"), "More bold text.", TEXT.replace("&amp;", "&")]
 
 
+def test_all_that_the_winner_contains_is_extracted():
+    said = TEXT.replace("&amp;", "&")
+    links = "".join(f"<a href=/x>link number {i} of many</a> " for i in range(9))
+    inner = f"<p>{TEXT} one</p><blockquote>{TEXT} quote<p>second</blockquote><div class=box>{TEXT} box</div><div class=rel>{links}</div><aside>{TEXT} aside</aside><table><tr><td>cell</td></tr></table><p>{TEXT} two</p><p>{TEXT} three</p>"
+    path, text = html.extract(page(f"<article>{inner}</article>"), None)
+    assert path == "/html/body/article"
+    assert text.split("\n") == [f"{said} one", f"{said} quote", "second", f"{said} box", "cell", f"{said} two", f"{said} three"]
+    split = "".join(f"<section class={c}><p>{TEXT} {c}</p></section>" for c in ("first", "second", "third"))
+    path, text = html.extract(page(f"<main>{split}</main>"), None)
+    assert path == "/html/body/main" and text.split("\n") == [f"{said} {c}" for c in ("first", "second", "third")]
+    assert html.extract("<div>" * 3000 + TEXT, "/div")[1] == said
+
+
 def test_links_and_chrome_lose():
     links = "".join(f'<a href="/x">{TEXT}</a>' for _ in range(5))
     assert html.extract(page(f"<div class=links>{links}</div><nav>{TEXT * 9}</nav><article>{TEXT}</article>"), None)[0] == "/html/body/article"
