@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 #: Entries of a Python worker's memo of words; a full memo is emptied, so its size never follows the corpus.
 MEMO_ENTRIES = 400_000
+#: Characters of a memo's key; longer ones (base64, minified code) are worked out anew, so the memo's bytes are bounded too.
+MEMO_KEY = 64
 #: Characters of text that a worker takes apart at a time.
 GROUP_CHARS = 2_000_000
 
@@ -49,10 +51,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def drop_long(memo: dict, keys: Iterable[str]) -> None:
+    """Take the keys of more than ``MEMO_KEY`` characters out of ``memo``, which held them for one run of texts."""
+    for key in keys:
+        if len(key) > MEMO_KEY:
+            memo.pop(key, None)
+
+
 class Memo(dict):
     """A bounded memo of a pure function of a string."""
 
-    def __init__(self, fn: Callable, entries: int = MEMO_ENTRIES, longest: int = 64):
+    def __init__(self, fn: Callable, entries: int = MEMO_ENTRIES, longest: int = MEMO_KEY):
         super().__init__()
         self.fn, self.entries, self.longest = fn, entries, longest
 

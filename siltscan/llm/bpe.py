@@ -5,7 +5,8 @@ adjacent pair of parts. The lowest rank (leftmost on ties) is found by a scan, i
 ranks of the two neighbouring pairs are refreshed, until no pair is in the vocabulary. Pretokens beyond ``SHORT``
 bytes use a heap over linked parts instead, which gives the same merges in n log n.
 
-Null text: null ids. Empty text: no ids. Decoding gives back every text exactly.
+Null text: null ids. Empty text: no ids. Texts of any length are encoded whole. Repeated rows give repeated results; an
+empty table gives none. Decoding gives back every text exactly.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from siltscan.llm._common import MEMO_ENTRIES, by_size, map_rows, per_worker
+from siltscan.llm._common import MEMO_ENTRIES, by_size, drop_long, map_rows, per_worker
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -177,6 +178,7 @@ class Bpe:
                 new = every
             self.learn(list(new))
             out += [None if words is None else b"".join(map(self.memo.__getitem__, words)) for words in parts]
+            drop_long(self.memo, new)
         return out
 
     def encode(self, text: str) -> list[int]:

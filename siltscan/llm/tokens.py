@@ -7,8 +7,9 @@ later one must score strictly higher to win. A character that no single-characte
 the lowest score and falls back to its UTF-8 bytes, each a token. Scores are summed exactly.
 
 A text is escaped (spaces become U+2581, one is put in front) and, since no piece continues across a
-word start, it falls apart into words whose counts add up; counts of words are memoised per worker.
+word start, it falls apart into words whose counts add up; counts of words of up to ``MEMO_KEY`` characters are memoised per worker.
 Null text: null count. Empty text: 0. Texts of any length are counted whole, in time linear in their length.
+Repeated rows give repeated results; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siltscan.llm._common import MEMO_ENTRIES, by_size, map_rows, per_worker
+from siltscan.llm._common import MEMO_ENTRIES, by_size, drop_long, map_rows, per_worker
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -228,6 +229,7 @@ class UnigramCounter:
             found[""] = 0
             memo.update((key, found[w]) for key, w in bare.items())
             out += [None if words is None else more + sum(map(memo.__getitem__, words)) for words, more in parts]
+            drop_long(memo, new)
         return out
 
 

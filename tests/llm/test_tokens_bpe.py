@@ -61,6 +61,15 @@ def test_memo_is_bounded(monkeypatch):
     assert len(c.memo) <= 50 and got == tokens.UnigramCounter(tokens.vocabulary(MODEL)).counts([f"word{i} {i}" for i in range(200)])
 
 
+def test_long_words_stay_out_of_the_memos(codec):
+    c = tokens.UnigramCounter(tokens.vocabulary(MODEL))
+    for part in range(10):
+        words = [f"{part}x{i}" + "q" * 2000 for i in range(100)] + ["short"]
+        assert c.counts(words)[0] == c.counts(words[:1])[0] > 1 and codec.decode(codec.encode(words[3])) == words[3]
+    for memo in (c.memo, codec.memo):
+        assert memo and max(map(len, memo)) <= 64
+
+
 def test_token_counts_of_awkward_rows(spark, awkward, empty):
     c = tokens.UnigramCounter(tokens.vocabulary(MODEL))
     got = tokens.token_counts(awkward)
