@@ -71,17 +71,18 @@ def brute_dedup(rows):
 
 
 def brute_secrets(rows):
-    owners, own = defaultdict(set), defaultdict(set)
+    owners, repos, own = defaultdict(set), defaultdict(set), defaultdict(set)
     for doc, text, lang, source, *_ in rows:
         for m in re.findall(secrets.PATTERN, text or ""):
             q = re.search(secrets.QUOTED, m)
             s = q[1] if q else m
             if len(s) >= secrets.MIN_LENGTH and len(set(s)) >= secrets.MIN_DISTINCT and re.search("[A-Za-z]", s) and re.search("[0-9]", s):
                 owners[s].add(source or "")
+                repos[s].add((source or "", lang or ""))
                 own[doc].add(s)
     out = []
     for doc, text, lang, source, n in rows:
-        live = sorted((s for s in own.get(doc, ()) if len(owners[s]) <= secrets.MAX_OWNERS), key=len, reverse=True)
+        live = sorted((s for s in own.get(doc, ()) if len(owners[s]) <= secrets.MAX_OWNERS and len(repos[s]) <= secrets.MAX_REPOS), key=len, reverse=True)
         for s in live:
             text = text.replace(s, secrets.REDACTED)
         out.append((doc, text, lang, source, len(text) if live else n))
