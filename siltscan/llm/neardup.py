@@ -1,9 +1,10 @@
 """MinHash near-duplicate groups through a multi-index Hamming join.
 
-A document's words (lower case, runs of letters and digits) give word-pair shingles, ``SYMBOLS`` min-hashes and from
-each, mixed with a salt of its own, 8 bits: a signature of ``SYMBOLS`` 8-bit symbols, whose expected share of equal
-symbols is the shingles' Jaccard similarity. Unmixed low bits would depend on the low bits of the shingle only, and
-unrelated texts of few shingles would get equal signatures. Two documents are near duplicates when their signatures differ in at most ``RADIUS``
+A document's words (lower case, runs of letters and digits; characters of scripts without spaces one by one) give
+word-pair shingles, ``SYMBOLS`` min-hashes and from each, mixed with a salt of its own, 16 bits: a signature of
+``SYMBOLS`` 16-bit symbols, whose expected share of equal symbols is the shingles' Jaccard similarity. Unmixed low bits
+would depend on the low bits of the shingle only, and unrelated texts of few shingles would get equal signatures. With 16
+bits the narrowest key has 48, so unrelated signatures hardly ever share one, however many there are. Two documents are near duplicates when their signatures differ in at most ``RADIUS``
 symbols; a group is a connected component of that relation.
 
 The join is exact. The symbols are split into chunks, chunk i tolerating e_i errors with sum(e_i + 1) > RADIUS, so by
@@ -33,7 +34,13 @@ from siltscan.llm._common import cut, kept_columns, slices
 
 SYMBOLS, RADIUS, SEED = 96, 40, 20240607
 WORD = re.compile(r"\w+")
+#: Scripts written without spaces, whose characters are words of their own.
+UNSPACED = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"
+ANY_UNSPACED = re.compile(UNSPACED)
+WORD_OR_SIGN = re.compile(f"{UNSPACED}|(?:(?!{UNSPACED})\\w)+")
 BLOCK = 2_048
+#: The symbols of the operators' signatures.
+BYTE, SYMBOL = np.dtype("u1"), np.dtype("<u2")
 #: Up to this many signatures of a bucket are compared pair by pair.
 FEW = 12
 
@@ -48,7 +55,8 @@ class MinHash:
     @staticmethod
     def shingles(text: str) -> np.ndarray:
         """32-bit hashes of the pairs of neighbouring words; of the word, if there is one only."""
-        words = WORD.findall(text.lower())
+        low = text.lower()
+        words = (WORD_OR_SIGN if not low.isascii() and ANY_UNSPACED.search(low) else WORD).findall(low)
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
         if len(h) > 1:
             h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + (h[1:] ^ (h[1:] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -72,7 +80,15 @@ class MinHash:
     def mixed(self, text: str | None) -> bytes | None:
         """8 bits of each minimum that depend on all of its bits."""
         low = self.minima(text)
-        return None if low is None else (((low ^ (low >> np.uint32(16))) * self.salt) >> np.uint32(24)).astype(np.uint8).tobytes()
+        return None if low is None else (self._mix(low) >> np.uint32(24)).astype(np.uint8).tobytes()
+
+    def wide(self, text: str | None) -> bytes | None:
+        """16 bits of each minimum that depend on all of its bits: what the operators compare."""
+        low = self.minima(text)
+        return None if low is None else (self._mix(low) >> np.uint32(16)).astype(SYMBOL).tobytes()
+
+    def _mix(self, low: np.ndarray) -> np.ndarray:
+        return (low ^ (low >> np.uint32(16))) * self.salt
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -81,7 +97,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = MinHash()
         for batch in slices(batches):
-            sigs = [make.mixed(t) for t in batch.column(1).to_pylist()]
+            sigs = [make.wide(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary())], ["doc_id", "sig"])
 
     src = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
@@ -111,8 +127,8 @@ def chunk_keys(sigs: np.ndarray, radius: int) -> np.ndarray:
     return np.stack(out, axis=1).astype(np.int64)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+def _matrix(column: pa.Array, symbol: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=symbol).reshape(len(column), -1)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -143,14 +159,14 @@ def _whole(parts: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray]:
     return batch, np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
 
 
-def bucket_members(reps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def bucket_members(reps: DataFrame, radius: int = RADIUS, symbol: np.dtype = BYTE) -> DataFrame:
     """(key, sid) of every chunk key that at least two signatures of ``reps`` (sid, sig) have."""
     sid = reps.schema["sid"].dataType.simpleString()
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = chunk_keys(_matrix(batch.column(1)), radius)
+                keys = chunk_keys(_matrix(batch.column(1), symbol), radius)
                 ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), keys.shape[1])))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), ids], ["key", "sid"])
 
@@ -202,12 +218,12 @@ def bucket_edges(sigs: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _edges(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+def _edges(batches: Iterator[pa.RecordBatch], radius: int, symbol: np.dtype) -> Iterator[pa.RecordBatch]:
     for batch, starts in _runs(batches):
         n = batch.num_rows
         if not n:
             continue
-        sigs, sid = _matrix(batch.column(2)), batch.column(1)
+        sigs, sid = _matrix(batch.column(2), symbol), batch.column(1)
         ends = np.append(starts[1:], n)
         sizes = ends - starts
         end_of, few = np.repeat(ends, sizes), np.repeat(sizes <= FEW, sizes)
@@ -229,25 +245,25 @@ def _edges(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
             yield from pairs.to_batches()
 
 
-def _bucketed(reps: DataFrame, radius: int) -> DataFrame:
+def _bucketed(reps: DataFrame, radius: int, symbol: np.dtype) -> DataFrame:
     """(key, sid, sig) of the shared buckets, each bucket whole in one partition, in order of key and sid."""
-    members = bucket_members(reps, radius)
+    members = bucket_members(reps, radius, symbol)
     return members.join(reps, "sid").select("key", "sid", "sig").repartition("key").sortWithinPartitions("key", "sid")
 
 
-def hamming_edges(reps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def hamming_edges(reps: DataFrame, radius: int = RADIUS, symbol: np.dtype = BYTE) -> DataFrame:
     """(a, b): enough of the pairs of ``reps`` (distinct sid, distinct sig) within the radius to connect all that they connect."""
     sid = reps.schema["sid"].dataType.simpleString()
-    return _bucketed(reps, radius).mapInArrow(lambda b: _edges(b, radius), f"a {sid}, b {sid}").distinct()
+    return _bucketed(reps, radius, symbol).mapInArrow(lambda b: _edges(b, radius, symbol), f"a {sid}, b {sid}").distinct()
 
 
-def hamming_pairs(reps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b, distance), a < b: every pair of ``reps`` (distinct sid) within the radius."""
+def hamming_pairs(reps: DataFrame, radius: int = RADIUS, symbol: np.dtype = BYTE) -> DataFrame:
+    """(a, b, distance), a < b: every pair of ``reps`` (distinct sid) within the radius; ``symbol`` is how signatures are read."""
     sid = reps.schema["sid"].dataType.simpleString()
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, starts in _runs(batches):
-            sigs, ids = _matrix(batch.column(2)), batch.column(1)
+            sigs, ids = _matrix(batch.column(2), symbol), batch.column(1)
             for a, b in zip(starts, np.append(starts[1:], batch.num_rows)):
                 for i in range(a, b - 1):
                     gap = np.count_nonzero(sigs[i + 1 : b] != sigs[i], axis=1)
@@ -258,7 +274,7 @@ def hamming_pairs(reps: DataFrame, radius: int = RADIUS) -> DataFrame:
                             ["a", "b", "distance"],
                         )
 
-    return _bucketed(reps, radius).mapInArrow(pairs, f"a {sid}, b {sid}, distance int").distinct()
+    return _bucketed(reps, radius, symbol).mapInArrow(pairs, f"a {sid}, b {sid}, distance int").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -290,7 +306,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``doc_id`` and ``keep_id`` of every document that has a near duplicate with a smaller id: its group's smallest id."""
     sigs = cut(signatures(docs))
     reps = cut(sigs.groupBy("sig").agg(F.min("doc_id").alias("sid")))
-    roots = components(hamming_edges(reps, radius))
+    roots = components(hamming_edges(reps, radius, SYMBOL))
     named = reps.join(roots, reps["sid"] == roots["node"], "left").select("sig", F.coalesce("root", "sid").alias("keep_id"))
     # An id whose rows differ may be in two groups; it stays with the first.
     return sigs.join(named, "sig").groupBy("doc_id").agg(F.min("keep_id").alias("keep_id")).where("doc_id <> keep_id")

@@ -101,6 +101,28 @@ def test_short_texts_stay_apart():
     assert abs(distance(m.mixed(a), m.mixed(b)) / neardup.SYMBOLS - 0.4) < 0.15
 
 
+def test_wide_symbols_share_next_to_no_key():
+    rng, shared, narrow = np.random.default_rng(3), [], []
+    for column in range(3):  # keys of the first chunk, of the fewest symbols, and of the last
+        for symbol, out in ((np.uint16, shared), (np.uint8, narrow)):
+            sigs = rng.integers(0, np.iinfo(symbol).max + 1, (2_000_000, 4), dtype=symbol)
+            key = neardup.chunk_keys(sigs, 1)[:, column]
+            out.append(len(key) - len(np.unique(key)))
+    assert sum(shared) <= 3 and sum(narrow) > 100_000
+    m, words = neardup.MinHash(), [f"w{i}" for i in range(900)]
+    for a, b in ((words[:400], words[:300] + words[500:600]), (words[:1], words[1:2]), (["漢字"], ["仮名"])):
+        wa, wb, ma, mb = (np.frombuffer(f(" ".join(x)), dtype=t) for f, t in ((m.wide, np.uint16), (m.mixed, np.uint8)) for x in (a, b))
+        assert (wa >> 8 == ma).all() and (wb >> 8 == mb).all() and np.count_nonzero(wa != wb) >= np.count_nonzero(ma != mb)
+
+
+def test_texts_without_spaces_have_near_copies(spark):
+    rng = random.Random(4)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(400))
+    rows = [(1, text), (2, text[:200] + "変" + text[201:]), (3, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(400))), (4, f"latin {text} words")]
+    got = {r.doc_id: r.keep_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {2: 1, 4: 1}
+
+
 def test_distinct_short_documents_are_all_kept(spark):
     rows = [(i, f"word{i}" + (f" next{i}" if i % 2 else "") + (f" third{i}" if i % 4 == 3 else "")) for i in range(2000)] + [(5000, "Word7, next7 third7")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
