@@ -22,7 +22,8 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxic documents, with score and terms."""
     docs = read(spark, sf_dir, "documents")
-    return toxicity.toxic_documents(docs, learned=toxicity.learned_terms(docs, read(spark, sf_dir, "labels")))
+    learned = toxicity.learned_terms(docs, read(spark, sf_dir, "labels"))
+    return toxicity.toxic_documents(docs, learned=learned, ordinary=toxicity.ordinary_words(docs, learned=learned))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,16 +7,23 @@ term tolerates depends on its length (``edits_for``): short terms only match exa
 
 Beside the given lexicon, terms are learned from at most ``SAMPLE`` labelled documents, those with the smallest hashed
 ids. Near copies among them count once. A word is taken if it is in toxic documents so much more often than their share
-that the binomial tail bound is below exp(-``EVIDENCE``), and in at least three toxic ones for each other. Its severity is
-the square of its smoothed precision, so one hit of a term of 0.922 and more suffices. Learned terms only match exactly:
-on held-out labels their near misses are ordinary words of the same stems.
+that the binomial tail bound is below exp(-``EVIDENCE``), and in at least three toxic ones for each other; for a word within
+the edits of one taken so, an inflection mostly, exp(-``NEAR_EVIDENCE``) suffices. Its severity is the square of its
+smoothed precision, so one hit of a term of 0.922 and more suffices. Learned terms tolerate edits too, from
+``LEARNED_LETTERS`` letters, where ordinary words are known, but a misspelled one counts ``LEARNED_EDIT`` only, so that it takes two.
+
+Near misses that are ordinary words are told by the corpus (``ordinary_words``): a misspelling is rarer than what it
+misspells, so a near miss that all documents hold in at least ``COMMON`` surroundings, and in ``COMMON_SHARE`` times as
+many as the term itself, is a word of its own. Surroundings, the words before and after, are counted rather than
+documents, so that copies count once. What is collected is such words near a term, whose number the lexicon bounds.
 
 A hit's score is its term's severity, times ``PER_EDIT`` for each edit, so that one unquoted misspelling suffices, times the context's factor: within ``WINDOW``
 words, a quoted hit next to a reporting word counts 0.1, a quoted one 0.4, one next to a reporting word 0.6; a second
-person within ``NEAR`` words counts 1.25. A document is toxic from a total of ``THRESHOLD``.
+person within ``NEAR`` words counts 1.25. A quotation lies within a line, however long. A document is toxic from a total of ``THRESHOLD``.
 
-Null, empty and wordless texts score 0 and are never toxic. Repeated rows give repeated results. Without labelled
-documents nothing is learned.
+Null, empty and wordless texts score 0 and are never toxic. Texts of any length are judged whole. Repeated rows give
+repeated results; of labelled rows with one id the first by text teaches. Without labelled documents nothing is learned.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,13 +35,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltscan.llm._common import Memo, map_rows, per_worker, slices
+from siltscan.llm._common import Memo, cut, map_rows, per_worker, slices
 from siltscan.llm.neardup import MinHash
 
-#: Insults that are one edit from common words (of other languages too) match exactly only, as ``ORDINARY`` can't list all of these.
+#: Insults that are one edit from common words (of other languages too) match exactly only.
 EXACT = frozenset("cretin degenerate retard vermin wanker".split())
 #: term -> severity. A starting lexicon of public everyday insults; pass another to ``toxic_documents``.
 LEXICON = {
@@ -43,8 +51,8 @@ LEXICON = {
     **dict.fromkeys(["scumbag", "shithead", "fuckwit", "motherfucker"], 1.0),
     **dict.fromkeys(EXACT, 1.0),
 }
-#: Words that are no misspellings, though near a term.
-ORDINARY = frozenset("apathetic bustard dastard jackals stupa studio stupor worthiness".split())
+#: Words that are no misspellings, though near a term: for tables too small to tell by.
+ORDINARY = frozenset("apathetic bustard dastard discussing jackals stupa studio stupor worthiness".split())
 REPORTING = frozenset(
     "said says say wrote writes quoted quote quotes quoting called calls calling word words term terms slur insult insults "
     "insulting phrase tweet comment alleged reported claimed sagte schrieb nannte wort dit écrit appelé mot dijo escribió llamó palabra".split()
@@ -54,23 +62,35 @@ SECOND_PERSON = frozenset(
 )
 ALIKE = str.maketrans("0134578@$!", "oieastbasi")
 WORD = re.compile(r"[@$]?\w+(?:[@$!*]+\w+)*")
-QUOTED = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“”\n]{1,400}[“”]|‘[^’\n]{1,400}’")
+MARK = re.compile("[\"“”«»„‘’\\n]")
+CLOSES = {"»": "«", "’": "‘", "”": "“„", "“": "„", '"': '"'}
 #: Chosen on held-out labels: no clean document is hit, and two quoted hits (0.8) stay below.
 WINDOW, NEAR, THRESHOLD, PER_EDIT = 8, 3, 0.85, 0.93
-SAMPLE, EVIDENCE, PRECISION = 5_000, 10.0, 0.75
+SAMPLE, EVIDENCE, NEAR_EVIDENCE, PRECISION = 5_000, 10.0, 4.0, 0.75
+LEARNED_LETTERS, LEARNED_EDIT, COMMON, COMMON_SHARE = 9, 0.6, 5, 0.125
 #: Differing symbols of two signatures up to which a labelled document is a copy of another.
 COPY = 60
 
 
+def hash64(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
 def edits_for(term: str) -> int:
-    return 0 if len(term) < 6 else 1 if len(term) < 12 else 2
+    return 0 if len(term) < 6 else 1 if len(term) < 10 else 2
+
+
+def edits_for_learned(term: str) -> int:
+    return int(len(term) >= LEARNED_LETTERS)
 
 
 class LexiconAutomaton:
     """Finds the lexicon term within its edit budget of a word: the one with fewest edits, then the first by name."""
 
-    def __init__(self, terms: Iterable[str], exact: Iterable[str] = ()):
-        self.edits = dict.fromkeys(exact, 0) | {t: edits_for(t) for t in terms}
+    def __init__(self, terms: Iterable[str], exact: Iterable[str] = (), learned: Iterable[str] = (), ordinary: Iterable[str] = ()):
+        self.edits = {t: edits_for_learned(t) for t in learned} | dict.fromkeys(exact, 0) | {t: edits_for(t) for t in terms}
+        self.per_edit = dict.fromkeys(self.edits, PER_EDIT) | dict.fromkeys(learned, LEARNED_EDIT)
+        self.ordinary = ORDINARY.union(ordinary)
         self.children: list[dict[str, int]] = [{}]
         self.term: dict[int, str] = {}
         self.budget = [0]
@@ -129,7 +149,7 @@ class LexiconAutomaton:
         return to
 
     def match(self, word: str) -> tuple[str, int] | None:
-        if word in ORDINARY and word not in self.edits:
+        if word in self.ordinary and word not in self.edits:
             return None
         word = word.translate(ALIKE) if any(map(str.isalpha, word)) else word
         state, alphabet, moves = self.start, self.alphabet, self.moves
@@ -141,6 +161,27 @@ class LexiconAutomaton:
         return self.accepts[state]
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans between quotation marks of one line, with something between them, in order and without overlaps; one pass."""
+    spans: list[tuple[int, int]] = []
+    opened: dict[str, int] = {}
+    for m in MARK.finditer(text):
+        mark, at = m[0], m.start()
+        if mark == "\n":
+            opened.clear()
+            continue
+        own = [opened[x] for x in CLOSES.get(mark, "") if x in opened]
+        if own and min(own) + 1 < at:
+            first = min(own)
+            opened = {x: p for x, p in opened.items() if p < first}
+            while spans and spans[-1][0] > first:
+                spans.pop()
+            spans.append((first, at + 1))
+        elif mark in '"“«„‘':
+            opened[mark] = at if mark == '"' else opened.get(mark, at)
+    return spans
+
+
 def score(text: str, automaton: LexiconAutomaton, lexicon: dict[str, float]) -> tuple[float, list[str]]:
     """The document's score and the distinct terms that it hits, in order of name."""
     low = text.lower()
@@ -149,7 +190,7 @@ def score(text: str, automaton: LexiconAutomaton, lexicon: dict[str, float]) ->
     hits = [i for i, w in enumerate(words) if memo[w] is not None]
     if not hits:
         return 0.0, []
-    spans = [m.span() for m in QUOTED.finditer(low)]
+    spans = quotations(low)
     at = [m.start() for m in WORD.finditer(low)]
     total, span = 0.0, 0
     for i in hits:
@@ -161,15 +202,41 @@ def score(text: str, automaton: LexiconAutomaton, lexicon: dict[str, float]) ->
         factor = (0.1 if reported else 0.4) if quoted else 0.6 if reported else 1.0
         if not quoted and not SECOND_PERSON.isdisjoint(words[max(0, i - NEAR) : i + NEAR + 1]):
             factor *= 1.25
-        total += lexicon[term] * PER_EDIT**edits * factor
+        total += lexicon[term] * automaton.per_edit[term] ** edits * factor
     return total, sorted({memo[words[i]][0] for i in hits})
 
 
-def automaton_of(lexicon: dict[str, float], learned: dict[str, float] | None = None) -> LexiconAutomaton:
-    terms = tuple(sorted(lexicon.keys() - EXACT)), tuple(sorted({*(learned or ()), *(EXACT & lexicon.keys())}))
+def automaton_of(lexicon: dict[str, float], learned: dict[str, float] | None = None, ordinary: Iterable[str] | None = None) -> LexiconAutomaton:
+    """This worker's automaton. Learned terms are in many languages: without ``ordinary`` words they match exactly."""
+    own, exact = (learned or {}).keys() - lexicon.keys(), EXACT & lexicon.keys()
+    exact, own = (exact | own, ()) if ordinary is None else (exact, own)
+    terms = tuple(sorted(lexicon.keys() - EXACT)), tuple(sorted(exact)), tuple(sorted(own)), frozenset(ordinary or ())
     return per_worker(("toxicity", terms), lambda: LexiconAutomaton(*terms))
 
 
+def ordinary_words(docs: DataFrame, lexicon: dict[str, float] = LEXICON, learned: dict[str, float] | None = None, text_col: str = "text") -> frozenset[str]:
+    """Near misses of terms that the whole corpus uses too widely to be misspellings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = automaton_of(lexicon, learned, ()).memo
+        for batch in slices(batches):
+            seen = set()
+            for text in batch.column(0).to_pylist():
+                words = WORD.findall(text.lower()) if text else ()
+                for i in [i for i, w in enumerate(words) if memo[w] is not None]:
+                    term, edits = memo[words[i]]
+                    around = hash64("\n".join(words[max(0, i - 1) : i] + ["", *words[i + 1 : i + 2]]))
+                    seen.add((words[i] if edits else term, term, around))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*seen) if seen else ((), (), ()), (pa.string(), pa.string(), pa.int64()))], ["word", "term", "around"])
+
+    each = docs.select(text_col).mapInArrow(run, "word string, term string, around bigint").distinct()
+    n = cut(each.groupBy("word", "term").agg(F.count("*").alias("n")))
+    terms = F.broadcast(n.where("word = term").select(F.col("term").alias("of"), F.col("n").alias("n_term")))  # a row per term at most
+    near = n.where("word <> term").join(terms, F.col("term") == F.col("of"), "left")
+    common = near.where((F.col("n") >= COMMON) & (F.col("n") >= COMMON_SHARE * F.coalesce("n_term", F.lit(0))))
+    return frozenset(r[0] for r in common.select("word").collect())
+
+
 def learned_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     """Severities of the terms that the labelled sample teaches."""
     chosen = (
@@ -178,7 +245,9 @@ def learned_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> d
         .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
     )
     # At most ``sample`` rows, so it is broadcast.
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # One row per id, so that no more than the sample comes to the driver.
+    picked = picked.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = MinHash()
@@ -206,25 +275,33 @@ def terms_of(rows: list[tuple[bytes, str, int]]) -> dict[str, float]:
         counts[toxic].update(words.split("\n"))
     if not all(n):
         return {}
-    share, out = n[1] / sum(n), {}
+    share, out, weaker = n[1] / sum(n), {}, {}
     for word, hits in counts[1].items():
         others = counts[0][word]
         precision = hits / (hits + others)
         if word and precision > max(PRECISION, share):
             gap = precision * math.log(precision / share) + (0 if not others else (1 - precision) * math.log((1 - precision) / (1 - share)))
-            if (hits + others) * gap >= EVIDENCE:
-                out[word] = (hits / (hits + others + 1)) ** 2
-    return out
+            if (hits + others) * gap >= NEAR_EVIDENCE:
+                kind = out if (hits + others) * gap >= EVIDENCE else weaker
+                kind[word] = (hits / (hits + others + 1)) ** 2
+    near = LexiconAutomaton(out)
+    return out | {word: s for word, s in weaker.items() if near.match(word)}
 
 
 def toxicity(
-    docs: DataFrame, lexicon: dict[str, float] = LEXICON, learned: dict[str, float] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    lexicon: dict[str, float] = LEXICON,
+    learned: dict[str, float] | None = None,
+    threshold: float = THRESHOLD,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    ordinary: Iterable[str] | None = None,
 ) -> DataFrame:
     """``id_col``, ``score``, ``terms`` and ``toxic`` of every row. A narrow map: nothing is shuffled."""
     severity = {**(learned or {}), **lexicon}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        automaton = automaton_of(lexicon, learned)
+        automaton = automaton_of(lexicon, learned, ordinary)
         found = [score(t, automaton, severity) if t else (0.0, []) for t in batch.column(1).to_pylist()]
         scores, terms = [s for s, _ in found], [t for _, t in found]
         # A float sum of 0.99999 from factors that add up to 1 still counts.
@@ -243,12 +320,19 @@ def toxic_documents(docs: DataFrame, **params) -> DataFrame:
     return toxicity(docs, **params).where("toxic")
 
 
-def without_toxic(docs: DataFrame, lexicon: dict[str, float] = LEXICON, learned: dict[str, float] | None = None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+def without_toxic(
+    docs: DataFrame,
+    lexicon: dict[str, float] = LEXICON,
+    learned: dict[str, float] | None = None,
+    threshold: float = THRESHOLD,
+    text_col: str = "text",
+    ordinary: Iterable[str] | None = None,
+) -> DataFrame:
     """``docs`` with all its columns, less the toxic rows; judged row by row in place, so nothing is joined or shuffled."""
     severity = {**(learned or {}), **lexicon}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        automaton = automaton_of(lexicon, learned)
+        automaton = automaton_of(lexicon, learned, ordinary)
         texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
         keep = [not t or score(t, automaton, severity)[0] + 1e-9 < threshold for t in texts]
         return batch.filter(pa.array(keep, pa.bool_()))

@@ -102,6 +102,79 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum(a for a, b in held if not b) <= 0.005 * len(held)
 
 
+def test_misspelled_learned_terms_on_held_out_labels(spark):
+    """With the corpus's ordinary words learned terms tolerate edits: all is found that can be, and no clean document is hit."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    order = [r.doc_id for r in labels.selectExpr("doc_id", "md5(string(doc_id)) m").orderBy("m").collect()]
+    learned = toxicity.learned_terms(docs, labels, 3000)
+    ordinary = toxicity.ordinary_words(docs, learned=learned)
+    assert ordinary == toxicity.ordinary_words(docs.repartition(7), learned=learned) and not ordinary & learned.keys()
+    got = {r.doc_id for r in toxicity.toxic_documents(docs, learned=learned, ordinary=ordinary).collect()}
+    held = [(r.doc_id in got, r.toxic) for r in labels.collect() if r.doc_id in set(order[3000:])]
+    assert sum(a for a, b in held if b) / sum(b for _, b in held) > 0.93
+    assert sum(a for a, b in held if not b) <= 0.003 * len(held)
+
+
+def test_planted_misspellings_in_four_languages(spark):
+    import random
+
+    rng = random.Random(21)
+    letters = {"en": "abcdefghiklmnoprstuw", "de": "abdefghiklmnrstuwzäöüß", "fr": "abcdeilmnopqrstuvéèçê", "es": "abcdegijlmnoprstuzñóá"}
+
+    def word(lang, n):
+        return "".join(rng.choice(letters[lang]) for _ in range(n))
+
+    def misspelled(term):
+        k = rng.randrange(1, len(term) - 1)
+        return rng.choice([term[:k] + rng.choice("xqkw") + term[k + 1 :], term[:k] + term[k + 1 :], term[:k] + rng.choice("xqkw") + term[k:]])
+
+    rows, labels, toxic = [], [], set()
+    for lang in letters:
+        vocabulary, bad = [word(lang, rng.randint(2, 11)) for _ in range(1500)], [word(lang, rng.randint(9, 11)) for _ in range(3)]
+        ordinary = misspelled(bad[0])  # a word that is near a term by chance
+        for i in range(300):
+            words = [rng.choice(vocabulary) for _ in range(rng.randint(20, 120))]
+            if i % 10 == 0:
+                words.insert(3, ordinary)
+            if i < 60:
+                labels.append((len(rows), i % 2))
+                if i % 2:
+                    words[5:5] = bad
+            elif i % 5 == 0:
+                toxic.add(len(rows))
+                for _ in range(2 if i % 10 else 1):
+                    words.insert(rng.randrange(6, len(words)), misspelled(rng.choice(bad)) if i % 10 else misspelled(rng.choice([t for t in sorted(toxicity.LEXICON.keys() - toxicity.EXACT) if len(t) > 5])))
+            rows.append((len(rows), " ".join(words)))
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    learned = toxicity.learned_terms(docs, labels)
+    assert len(learned) == 12
+    got = {r.doc_id for r in toxicity.toxic_documents(docs, learned=learned, ordinary=toxicity.ordinary_words(docs, learned=learned)).collect()}
+    clean = {i for i, _ in rows} - toxic - {r.doc_id for r in labels.where("toxic = 1").collect()}
+    assert len(toxic & got) >= 0.95 * len(toxic) and len(clean & got) <= 0.005 * len(clean)
+
+
+def test_what_is_common_in_the_corpus_is_no_misspelling(spark, empty):
+    rows = [(i, f"w{i} pathetics v{i}") for i in range(6)] + [(50 + i, "the same patheticc copied") for i in range(40)] + [(99, None), (100, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert toxicity.ordinary_words(df) == {"pathetics"} and toxicity.ordinary_words(empty) == frozenset()
+    many = df.union(spark.createDataFrame([(1000 + i, f"a{i} pathetic b{i}") for i in range(60)], df.schema))
+    assert toxicity.ordinary_words(many) == frozenset()  # rare beside the term itself
+    kept = toxicity.without_toxic(df, ordinary=toxicity.ordinary_words(df))
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(6), 99, 100]
+
+
+def test_quotations_of_any_length():
+    for n in (3, 383, 413, 2000, 100_000):
+        inside = "so " * (n // 3) + "idiot"
+        assert score(f'he wrote "{inside}" and left it')[0] == score(f"he wrote «{inside}» and left it")[0] < 0.5 < 1 <= score(f'he came "{inside}\nand left" it')[0]
+    t = 'a "b" "" "c «d» "e\nf" «g «h» i» "j "k" «'
+    spans = [m.span() for m in re.finditer(r"\"[^\"\n]+\"|«[^»\n]+»", t)]
+    assert spans[0] == toxicity.quotations(t)[0] and all(t[a] in '"«' and t[b - 1] in '"»' and "\n" not in t[a:b] for a, b in toxicity.quotations(t))
+    assert toxicity.quotations("„a“ b ” “c” ‘d’") == [(0, 3), (8, 11), (12, 15)]
+    assert toxicity.quotations("“" * 300_000) == [] and len(toxicity.quotations("“a”" * 100_000)) == 100_000
+
+
 def test_learning_needs_evidence_and_counts_copies_once(spark, awkward, empty):
     def row(k, words, toxic):
         rng = np.random.default_rng(k)
@@ -161,12 +234,105 @@ def test_crf_on_held_out_labels(spark):
     assert sum(a for a, b in held if b) / sum(b for _, b in held) > 0.995
 
 
+def test_lines_that_recur(spark):
+    rows = [(i, f"word{i} starts\nShared by all of them\nword{i} ends") for i in range(6)] + [(9, None), (10, ""), (11, "\n \n")]
+    rows += [(50 + i, f"one two\nin a copied text\nthree four {'x' * (i % 2)}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert [r.line for r in linecrf.recurring_lines(df).collect()] == [linecrf.line_hash("Shared by all of them")]
+    want = df.select(F.xxhash64(F.lit("Grüße 漢 line")).alias("h")).first().h
+    assert linecrf.line_hash("Grüße 漢 line") == want
+
+
+def test_lines_of_one_document_get_labels_of_their_own(spark, monkeypatch):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    recurring = spark.createDataFrame(linecrf.recurring_lines(docs).collect(), "line bigint")
+    crf = linecrf.train(docs, labels, recurring=recurring)
+    held = {r.line for r in recurring.collect()}
+    furniture = "The and attion to thanedble the, anea. Eriner thanea."
+    assert linecrf.line_hash(furniture) in held
+    good = [r.text for r in docs.join(labels.where("quality = 1"), "doc_id").orderBy("doc_id").collect() if r.text.count("\n") > 5]
+    own = mixed = lines = 0
+    for text in good[:400]:
+        plain = [x for x in text.split("\n") if x.strip() and linecrf.line_hash(x) not in held and not linecrf.LICENCE.search(x)]
+        planted = [furniture, *plain[:2], "Released under the MIT License.", *plain[2:], furniture]
+        ((doc, got),) = crf.labels(["\n".join(planted)], held)
+        want = [x == furniture or "License" in x for x in planted]
+        own, lines = own + sum(a == b for a, b in zip(got, want)), lines + len(want)
+    assert own >= 0.97 * lines
+    for doc, got in crf.labels(good, held):
+        mixed += 0 < sum(got) < len(got)
+    assert mixed > 0.2 * len(good)
+    # Both ways to bring recurring lines to the documents give the same.
+    some = docs.where("doc_id < 500")
+    a = sorted(map(str, linecrf.content_shares(some, crf, recurring=recurring).collect()))
+    monkeypatch.setattr(linecrf, "BROADCAST_ROWS", 0)
+    assert a == sorted(map(str, linecrf.content_shares(some, crf, recurring=recurring).collect()))
+
+
+def test_kept_documents_equal_a_brute_force(spark):
+    """Features, shares and the decision by other means, over texts of many kinds of lines."""
+    import random
+
+    rng = random.Random(13)
+    kinds = ["A plain sentence of some words.", "LOUD WORDS HERE", "a | b | c | d", "12 34 56", "same same same same", "All rights reserved", "Ünïcode 漢字 line…", "x", "\t", ""]
+    rows = [(i, "\n".join(rng.choice(kinds) + rng.choice(["", *[" " + rng.choice("abcdefgh") * rng.randint(1, 5) + rng.choice("ijklmnop") * rng.randint(1, 5)] * 5]) for _ in range(rng.randint(1, 9)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int("|" not in t)) for i, t in rows[:200]], "doc_id bigint, quality int")
+    got = {r.doc_id: r.content_share for r in linecrf.kept_documents(docs, labels).collect()}
+    recurring = spark.createDataFrame(linecrf.recurring_lines(docs).collect(), "line bigint")
+    crf = linecrf.train(docs, labels, recurring=recurring)
+    around = defaultdict(list)
+    for _, text in rows:
+        lines = [x for x in text.split("\n") if x.strip()]
+        for p, x, n in zip(["", *lines], lines, [*lines[1:], ""]):
+            around[x].append((" ".join(p.split()[:2]), " ".join(n.split()[:2])))
+    recurs = {x for x, a in around.items() if len(set(a)) >= linecrf.RECURS and len(set(a)) >= linecrf.APART * len(a)}
+    assert {linecrf.line_hash(x) for x in recurs} == {r.line for r in recurring.collect()}
+
+    def measures(lines, k):
+        x = lines[k]
+        w, chars = x.split(), [c for c in x if not c.isspace()]
+        letters = [c for c in chars if c.isalpha()]
+        other = [c for c in chars if not c.isalpha() and not c.isdigit()]
+        place = 0 if len(lines) == 1 else 1 if k == 0 else 3 if k == len(lines) - 1 else 2
+        yield sum(c.isupper() for c in letters) / max(len(letters), 1)
+        yield len(other) / (len(chars) + 1)
+        yield sum(c.isdigit() for c in chars) / (len(chars) + 1)
+        yield sum(map(len, w)) / len(w)
+        yield sum(len(y) <= 3 for y in w) / len(w)
+        yield len(set(w)) / len(w)
+        yield sum(a == b for a, b in zip(w, w[1:])) / len(w)
+        yield len(w)
+        yield x in lines[:k]
+        yield linecrf.LICENCE.search(x) is not None
+        yield x.rstrip()[-1] in ".!?…。"
+        yield place
+        yield x in recurs
+
+    want = {}
+    for i, text in rows:
+        lines = [x for x in text.split("\n") if x.strip()]
+        if not lines:
+            continue
+        e = []
+        for k in range(len(lines)):
+            on = [sum(v >= b for b in bins) + at for v, (_, bins), at in zip(measures(lines, k), linecrf.FEATURES, linecrf.OFFSET)]
+            e.append(sum(crf.weights[j] for j in on))
+        best = max(product((0, 1), repeat=len(lines)), key=lambda y: round(crf.start[y[0]] + sum(v for v, z in zip(e, y) if z) + sum(crf.step[a, b] for a, b in zip(y, y[1:])), 9))
+        share = sum(len(x) for x, z in zip(lines, best) if not z) / sum(map(len, lines))
+        if share >= linecrf.SHARE:
+            want[i] = share
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in got) and 50 < len(want) < 290
+
+
 def test_crf_of_awkward_rows(spark, awkward, empty):
     labels = spark.createDataFrame([(1, 1, 0), (6, 1, 0), (9, 0, 0), (9, 0, 1), (3, 0, 0), (5, 0, None), (None, 1, 1), (77, None, 0)], "doc_id bigint, quality int, toxic int")
     assert linecrf.content_shares(awkward, linecrf.train(awkward, labels)).count() == len(ROWS)
     none = linecrf.kept_documents(awkward, labels.limit(0))
     assert sorted((r.doc_id or 0, r.content_share) for r in none.collect()) == sorted((r[0] or 0, 1.0) for r in ROWS if r[1] and not r[1].isspace())
     assert linecrf.kept_documents(empty, labels).count() == 0
+    assert linecrf.recurring_lines(awkward).count() == linecrf.recurring_lines(empty).count() == 0
     assert linecrf.LineCrf().shares([LONG, None, "", "\n\n", "a\r\nb"]) == [1.0, None, None, None, 1.0]
 
 
