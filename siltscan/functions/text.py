@@ -9,7 +9,7 @@ from siltscan import layout
 
 #: Printable: no control, format, unassigned or separator character but the blank. ``\\A`` and ``\\z``, since ``$`` would
 #: let a trailing line break through.
-PRINTABLE = r"\A(?:[^\p{C}\p{Z}]| )*\z"
+PRINTABLE = r"\A[[^\p{C}\p{Z}] ]*+\z"
 
 
 def as_text(raw: Column) -> Column:

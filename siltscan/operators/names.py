@@ -16,6 +16,12 @@ def _claim(kind: Column, pos: Column, first: Column, name: Column) -> Column:
     return F.when((kind != "INODE_REF") | (pos == first), F.struct(F.length(name).alias("n"), pos.alias("pos"), name.alias("name")))
 
 
+def distinct_events(events: DataFrame) -> DataFrame:
+    """The first of each (inode, gen, kind, name), summed up before the shuffle: copies of a node, and the directories that
+    every subvolume has, add no rows to the windows. Later ones never change a name."""
+    return events.groupBy("inode", "gen", "kind", "name").agg(F.min("pos").alias("pos"))
+
+
 def resolved(probes: DataFrame, events: DataFrame) -> DataFrame:
     """``probes`` (pos, inode, gen and more) with ``filename``.
 
@@ -24,7 +30,7 @@ def resolved(probes: DataFrame, events: DataFrame) -> DataFrame:
     """
     extra = [c for c in probes.columns if c not in ("pos", "inode", "gen")]
     rows = probes.select("pos", "inode", "gen", F.struct(*extra, F.lit(1).alias("__probe")).alias("rest")).unionByName(
-        events.select("pos", "inode", "gen", "kind", "name"), allowMissingColumns=True
+        distinct_events(events), allowMissingColumns=True
     )
     rows = rows.repartition("inode")
     key, inode = Window.partitionBy("inode", "gen"), Window.partitionBy("inode")
@@ -45,7 +51,7 @@ def changes(events: DataFrame) -> DataFrame:
     Far fewer than the events, as a name only changes to a shorter one, so copies of a node add nothing.
     """
     key = Window.partitionBy("inode", "gen")
-    rows = events.repartition("inode").withColumn("first", F.min("pos").over(key))
+    rows = distinct_events(events).repartition("inode").withColumn("first", F.min("pos").over(key))
     rows = rows.withColumn("c", _claim(F.col("kind"), F.col("pos"), F.col("first"), F.col("name")))
     rows = rows.withColumn("best", F.min("c").over(key.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.where(F.col("c").isNotNull() & (F.col("best").isNull() | (F.col("c") < F.col("best"))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,19 +19,20 @@ COUNTERS = (
 )
 
 
-def _sum(condition: Column) -> Column:
-    return F.count_if(condition).cast("bigint")
+def _node_counters() -> dict[str, Column]:
+    """Nodes by class, checksum failures, and nodes of subvolumes (of any generation; ids count as unsigned)."""
+    ok = F.col("csum_ok")
+    return {
+        "orphan_nodes_found": F.col("class") == "orphan",
+        "current_nodes_scanned": F.col("class") == "current",
+        "checksum_failures": ~ok,
+        "subvolume_nodes_seen": ok & (F.col("owner") >= layout.FIRST_SUBVOLUME),
+    }
 
 
 def node_counters(nodes: DataFrame) -> DataFrame:
-    """One row: nodes by class, checksum failures, and nodes of subvolumes (of any generation; ids count as unsigned)."""
-    ok = F.col("csum_ok")
-    return nodes.agg(
-        _sum(F.col("class") == "orphan").alias("orphan_nodes_found"),
-        _sum(F.col("class") == "current").alias("current_nodes_scanned"),
-        _sum(~ok).alias("checksum_failures"),
-        _sum(ok & (F.col("owner") >= layout.FIRST_SUBVOLUME)).alias("subvolume_nodes_seen"),
-    )
+    """The counters of nodes as one row."""
+    return nodes.agg(*[F.count_if(c).cast("bigint").alias(name) for name, c in _node_counters().items()])
 
 
 def defrag_warning(orphans: Column, scanned: Column, used: Column, total: Column) -> Column:
@@ -40,40 +42,28 @@ def defrag_warning(orphans: Column, scanned: Column, used: Column, total: Column
     return F.coalesce(few & full, F.lit(False))
 
 
-def _side_by_side(parts: list[DataFrame]) -> DataFrame:
-    """Tables of one row of BIGINT columns as one such table.
-
-    Their values are laid under each other by name and picked out by one aggregate, so the parts run as stages of one
-    job, where a chain of cross joins would broadcast them one after the other.
-    """
-    names = [c for p in parts for c in p.columns]
-    long = [p.select(F.explode(F.create_map(*[x for c in p.columns for x in (F.lit(c), F.col(c).cast("bigint"))])).alias("name", "value")) for p in parts]
-    return reduce(DataFrame.unionAll, long).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
-
-
 def stats(t: dict[str, DataFrame], nodes_scanned: int, sb: dict) -> DataFrame:
-    """The counters and flags as one row. Each table is aggregated on its own."""
+    """The counters and flags as one row: what each table adds to a counter, under each other, and one aggregate over all."""
 
-    def rows(name: str, out: str) -> DataFrame:
-        return t[name].agg(F.count("*").alias(out))
+    def adds(table: str, counters: dict[str, Column]) -> DataFrame:
+        each = [F.struct(F.lit(name).alias("name"), value.cast("bigint").alias("n")) for name, value in counters.items()]
+        return t[table].select(F.inline(F.array(*each)))
 
-    regular = t["regular_files"].agg(
-        _sum(F.col("state") == "recovered").alias("regular_extents_recovered"),
-        _sum(F.col("state") == "failed").alias("regular_extents_failed"),
-        F.count("*").alias("regular"),
-    )
-    one = _side_by_side([
-        node_counters(t["nodes"]),
-        t["leaf_items"].agg(_sum((F.col("phase") == 1) & (F.col("route") == "leaf")).alias("orphan_items_found")),
-        rows("root_anomalies", "root_item_anomalies"),
-        rows("leaf_slack", "leaf_slacks_found"),
-        t["slack_residuals"].agg(F.coalesce(F.sum("residuals"), F.lit(0)).alias("internal_slack_residuals")),
-        rows("orphan_pointers", "internal_orphan_ptrs_found"),
-        rows("extent_backrefs", "extent_backrefs_found"),
-        rows("moves", "move_artifacts_found"),
-        rows("inline_files", "inline_files_recovered"),
-        regular,
-    ])
+    state = F.col("state")
+    parts = [
+        adds("nodes", _node_counters()),
+        adds("leaf_items", {"orphan_items_found": (F.col("phase") == 1) & (F.col("route") == "leaf")}),
+        adds("root_anomalies", {"root_item_anomalies": F.lit(1)}),
+        adds("leaf_slack", {"leaf_slacks_found": F.lit(1)}),
+        adds("slack_residuals", {"internal_slack_residuals": F.col("residuals")}),
+        adds("orphan_pointers", {"internal_orphan_ptrs_found": F.lit(1)}),
+        adds("extent_backrefs", {"extent_backrefs_found": F.lit(1)}),
+        adds("moves", {"move_artifacts_found": F.lit(1)}),
+        adds("inline_names", {"inline_files_recovered": F.lit(1)}),
+        adds("regular_files", {"regular_extents_recovered": state == "recovered", "regular_extents_failed": state == "failed", "regular": F.lit(1)}),
+    ]
+    names = [c for c in (*COUNTERS, "regular") if c not in ("nodes_scanned", "total_artifacts")]
+    one = reduce(DataFrame.unionAll, parts).agg(*[F.coalesce(F.sum(F.when(F.col("name") == c, F.col("n"))), F.lit(0)).cast("bigint").alias(c) for c in names])
     one = one.withColumns({"nodes_scanned": F.lit(nodes_scanned).cast("bigint"), "total_artifacts": F.col("inline_files_recovered") + F.col("regular")})
     used, total = F.lit(float(sb["bytes_used"])), F.lit(float(sb["total_bytes"]))
     return one.select(
@@ -83,45 +73,74 @@ def stats(t: dict[str, DataFrame], nodes_scanned: int, sb: dict) -> DataFrame:
     )
 
 
+INLINE = ("filename", "inode", "generation", "extent_type", "size", "output_path", "source", "compressed")
+REGULAR = (*INLINE[:-1], "disk_bytenr", "disk_num_bytes", "offset", "file_slack")
+
+
 def recovered_files(t: dict[str, DataFrame]) -> DataFrame:
     """Inline and regular files in one table; what one kind lacks is null."""
-    inline = t["inline_files"].select("pos", "filename", "inode", F.col("gen").alias("generation"), "extent_type", "size", "output_path", "source", "compressed")
-    regular = t["regular_files"].select(
-        "pos", "filename", "inode", F.col("gen").alias("generation"), "extent_type", "size", "output_path", "source", "disk_bytenr", "disk_num_bytes", "offset", "file_slack"
-    )
+    inline, regular = (t[name].withColumnRenamed("gen", "generation").select("pos", *columns) for name, columns in (("inline_names", INLINE), ("regular_files", REGULAR)))
     return inline.unionByName(regular, allowMissingColumns=True)
 
 
-def _listed(df: DataFrame, name: str) -> DataFrame:
-    """(name, json): the rows of ``df`` as an array in order of the scan, without their positions; absent fields are left out."""
-    columns = [c for c in df.columns if c != "pos"]
-    each = F.array_sort(F.collect_list(F.struct("pos", F.struct(*columns).alias("row"))))
-    return df.agg(F.to_json(F.transform(each, lambda x: x["row"]), {"pretty": "true"}).alias("json")).select(F.lit(name).alias("name"), "json")
+#: Sections of the report, and what encloses the rows of each; a section without is one value.
+SECTIONS = (
+    ("generated_at", ""), ("stats", ""), ("recovered_files", "[]"), ("inode_metadata", "{}"), ("extent_backrefs", "[]"), ("orphan_child_ptrs", "[]"),
+    ("move_artifacts", "[]"), ("device_info", "[]"),
+)
+
+
+def report_rows(t: dict[str, DataFrame]) -> DataFrame:
+    """(section, at, json): the report row by row, each made where its data are. ``at`` orders a section as the scan goes.
+
+    A row has all fields of its kind; those without a value are null.
+    """
+    none = F.array().cast("array<bigint>")
 
+    def rows(section: str, df: DataFrame, columns: list[str], pos: tuple[str, ...] = ("pos.off", "pos.phase", "pos.slot", "pos.sub")) -> DataFrame:
+        at = F.array(*[F.col(c).cast("bigint") for c in pos])
+        json = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+        number = [name for name, _ in SECTIONS].index(section)
+        return df.select(F.lit(number).alias("section"), (at if pos else none).alias("at"), json.alias("json"))
 
-def report_parts(t: dict[str, DataFrame]) -> DataFrame:
-    """(name, json) of each part of the report."""
+    now = F.to_json(F.array(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")))
     key = F.concat_ws("_", F.col("inode").cast("string"), F.col("gen").cast("string"))
-    meta = t["inode_metadata"].agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, "meta"))), {"pretty": "true"}).alias("json"))
-    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-    stats_ = t["stats"].select(F.lit("stats").alias("name"), F.to_json(F.struct("*"), {"pretty": "true"}).alias("json"))
+    meta = F.to_json(F.col("meta"), {"ignoreNullFields": "false"})
+    inline, regular = (t[name].withColumnRenamed("gen", "generation") for name in ("inline_names", "regular_files"))
+    backrefs, pointers, moves, devices = t["extent_backrefs"], t["orphan_pointers"], t["moves"], t["devices"]
     parts = [
-        stats_,
-        t["superblock"].select(F.lit("generated_at").alias("name"), F.concat(F.lit('"'), now, F.lit('"')).alias("json")),
-        _listed(recovered_files(t), "recovered_files"),
-        meta.select(F.lit("inode_metadata").alias("name"), "json"),
-        _listed(t["extent_backrefs"].drop("extent_objectid"), "extent_backrefs"),
-        _listed(t["orphan_pointers"].withColumn("pos", F.struct("parent_offset", "slot")), "orphan_child_ptrs"),
-        _listed(t["moves"], "move_artifacts"),
-        _listed(t["devices"], "device_info"),
+        t["superblock"].select(F.lit(0).alias("section"), none.alias("at"), now.substr(F.lit(2), F.length(now) - 2).alias("json")),
+        rows("stats", t["stats"], t["stats"].columns, ()),
+        rows("recovered_files", inline, list(INLINE)),
+        rows("recovered_files", regular, list(REGULAR)),
+        t["inode_metadata"].select(F.lit(3).alias("section"), none.alias("at"), F.concat(F.lit('"'), key, F.lit('": '), meta).alias("json")),
+        rows("extent_backrefs", backrefs, [c for c in backrefs.columns if c not in ("pos", "extent_objectid")]),
+        rows("orphan_child_ptrs", pointers, pointers.columns, ("parent_offset", "slot")),
+        rows("move_artifacts", moves, [c for c in moves.columns if c != "pos"]),
+        rows("device_info", devices, [c for c in devices.columns if c != "pos"]),
     ]
     return reduce(DataFrame.unionAll, parts)
 
 
-def report_json(t: dict[str, DataFrame]) -> DataFrame:
-    """The report as one JSON string, for recoveries of a size that a person reads; the tables hold the rest."""
-    part = F.concat(F.lit('"'), "name", F.lit('" : '), "json")
-    return report_parts(t).agg(F.concat(F.lit("{\n"), F.concat_ws(",\n", F.array_sort(F.collect_list(part))), F.lit("\n}\n")).alias("json"))
+def report_text(t: dict[str, DataFrame]) -> Iterator[str]:
+    """The report's JSON in pieces: rows sorted by the executors and streamed partition by partition, so that the driver never holds more than some."""
+    ordered = report_rows(t).orderBy("section", "at", "json").select("section", "json")
+    yield "{"
+    done = 0  # sections that are begun
+    for row in ordered.toLocalIterator(prefetchPartitions=True):
+        fresh = row.section >= done
+        while done <= row.section:
+            yield _closed(done - 1) + f'{"," if done else ""}\n"{SECTIONS[done][0]}": {SECTIONS[done][1][:1]}'
+            done += 1
+        yield ("\n" if fresh else ",\n") + row.json
+    while done < len(SECTIONS):
+        yield _closed(done - 1) + f'{"," if done else ""}\n"{SECTIONS[done][0]}": {SECTIONS[done][1][:1]}'
+        done += 1
+    yield _closed(done - 1) + "\n}\n"
+
+
+def _closed(section: int) -> str:
+    return "\n" + SECTIONS[section][1][1:] if section >= 0 and SECTIONS[section][1] else ""
 
 
 def summary(t: dict[str, DataFrame], limit: int = 200) -> str:

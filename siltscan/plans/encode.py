@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,25 +69,33 @@ def sealed(blocks: list[bytes]) -> list[bytes]:
     return [s.to_bytes(4, "little") + b[4:] for s, b in zip(sums, blocks)]
 
 
-def encode_leaves(items: DataFrame, nodesize: int, fsid: bytes) -> DataFrame:
-    """(off, block) from items (node, slot, objectid, type, key_offset, payload, gen, owner, hidden, broken).
+def pack_internal(pointers: list[tuple[int, int]], nodesize: int, fsid: bytes, gen: int, owner: int, nritems: int | None = None, bytenr: int = 0, tail: bytes = b"") -> bytes:
+    """A node of level 1 with (child, child_gen) pointers; ``nritems`` may hide the last, ``tail`` follows the ones that show."""
+    shown = len(pointers) if nritems is None else nritems
+    node = bytearray(pack_node([], nodesize, fsid, gen, owner, shown, bytenr))
+    node[layout.HEADER["level"][0]] = 1
+    table = np.zeros(len(pointers), dtype=layout.POINTER)
+    for k, (child, child_gen) in enumerate(pointers):
+        table[k] = (k, 0, 0, child, child_gen)
+    node[layout.HEADER_BYTES : layout.HEADER_BYTES + table.nbytes] = table.tobytes()
+    at = layout.HEADER_BYTES + shown * layout.POINTER.itemsize
+    node[at : at + len(tail)] = tail
+    return bytes(node)
 
-    ``node`` is the node's number, in order of offset; hidden items lie past the valid ones; a node with any broken
-    item has a wrong checksum. Nodes stream through sorted partitions, so none needs a group of its own.
-    """
-    first = layout.SUPERBLOCK_AT + nodesize
+
+def _streamed(rows: DataFrame, node_of: Callable[[list[dict]], tuple[int, bytes]]) -> DataFrame:
+    """(off, block) of sealed nodes from rows sorted by node, so that none needs a group of its own. ``broken`` and ``short`` rows tell
+    of a wrong checksum and of a block that is cut in half."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
-        def node() -> tuple[int, bytes, bool]:
-            got = [(r["objectid"], r["type"], r["key_offset"], r["payload"]) for r in held]
-            shown = sum(not r["hidden"] for r in held)
-            off = first + held[0]["node"] * nodesize
-            return off, pack_node(got, nodesize, fsid, held[0]["gen"], held[0]["owner"], shown, off), any(r["broken"] for r in held)
+        def node() -> tuple[int, bytes, bool, bool]:
+            return *node_of(held), any(r["broken"] for r in held), any(r["short"] for r in held)
 
-        def out(done: list[tuple[int, bytes, bool]]) -> pa.RecordBatch:
-            whole = [b if not bad else b[:1] + bytes([b[1] ^ 0xFF]) + b[2:] for b, (_, _, bad) in zip(sealed([b for _, b, _ in done]), done)]
+        def out(done: list[tuple[int, bytes, bool, bool]]) -> pa.RecordBatch:
+            whole = [b if not bad else b[:1] + bytes([b[1] ^ 0xFF]) + b[2:] for b, (_, _, bad, _) in zip(sealed([b for _, b, *_ in done]), done)]
+            whole = [b[: len(b) // 2] if short else b for b, (*_, short) in zip(whole, done)]
             return pa.RecordBatch.from_arrays([pa.array([o for o, *_ in done], pa.int64()), pa.array(whole, pa.binary())], ["off", "block"])
 
         for batch in batches:
@@ -102,7 +110,43 @@ def encode_leaves(items: DataFrame, nodesize: int, fsid: bytes) -> DataFrame:
         if held:
             yield out([node()])
 
-    cols = ["node", "slot", "objectid", "type", "key_offset", "payload", "gen", "owner"]
-    optional = [F.col(c).cast("boolean").alias(c) if c in items.columns else F.lit(False).alias(c) for c in ("hidden", "broken")]
-    rows = items.select(*[F.col(c).cast("bigint").alias(c) if c != "payload" else F.col(c) for c in cols], *optional)
     return rows.repartition("node").sortWithinPartitions("node", "hidden", "slot").mapInArrow(pack, "off bigint, block binary")
+
+
+def _columns(rows: DataFrame, names: tuple[str, ...], raw: str) -> DataFrame:
+    """Numbers as BIGINT, ``raw`` as it is, and flags, false where the table lacks them."""
+    flags = [F.col(c).cast("boolean").alias(c) if c in rows.columns else F.lit(False).alias(c) for c in ("hidden", "broken", "short")]
+    claimed = F.col("claimed").cast("bigint") if "claimed" in rows.columns else F.lit(None).cast("bigint")
+    return rows.select(*[F.col(c).cast("bigint").alias(c) for c in names], F.col(raw), *flags, claimed.alias("claimed"))
+
+
+def encode_leaves(items: DataFrame, nodesize: int, fsid: bytes) -> DataFrame:
+    """(off, block) from items (node, slot, objectid, type, key_offset, payload, gen, owner, hidden, broken, short, claimed).
+
+    ``node`` is the node's number, in order of offset; hidden items lie past the valid ones; a node with any broken
+    item has a wrong checksum, one with any short item is only half there, and ``claimed`` is a false number of items.
+    """
+    first = layout.SUPERBLOCK_AT + nodesize
+
+    def node_of(held: list[dict]) -> tuple[int, bytes]:
+        got = [(r["objectid"], r["type"], r["key_offset"], r["payload"]) for r in held]
+        shown = sum(not r["hidden"] for r in held) if held[0]["claimed"] is None else held[0]["claimed"]
+        off = first + held[0]["node"] * nodesize
+        return off, pack_node(got, nodesize, fsid, held[0]["gen"], held[0]["owner"], shown, off)
+
+    return _streamed(_columns(items, ("node", "slot", "objectid", "type", "key_offset", "gen", "owner"), "payload"), node_of)
+
+
+def encode_internal(pointers: DataFrame, nodesize: int, fsid: bytes) -> DataFrame:
+    """(off, block) of internal nodes from pointers (node, slot, child, child_gen, gen, owner, tail, hidden, ...).
+
+    Hidden pointers lie past the valid ones; the ``tail`` of a node's first pointer follows the valid ones instead, if it isn't empty.
+    """
+    first = layout.SUPERBLOCK_AT + nodesize
+
+    def node_of(held: list[dict]) -> tuple[int, bytes]:
+        off = first + held[0]["node"] * nodesize
+        got = [(r["child"], r["child_gen"]) for r in held]
+        return off, pack_internal(got, nodesize, fsid, held[0]["gen"], held[0]["owner"], sum(not r["hidden"] for r in held), off, held[0]["tail"] or b"")
+
+    return _streamed(_columns(pointers, ("node", "slot", "child", "child_gen", "gen", "owner"), "tail"), node_of)

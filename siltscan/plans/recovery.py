@@ -44,8 +44,11 @@ def recover_blocks(
     t["names"] = names.final_names(t["name_events"])
     t["moves"] = keep(names.moves(t["name_events"]))
     t["file_extents"] = decode.file_extents(t["leaf_items"])
-    named = names.resolved(t["file_extents"], t["name_events"])
-    t["inline_files"] = keep(extents.inline_files(named))
+    # Payloads stay out of the windows over inodes and paths and join back once, by their place in the image.
+    t["named_extents"] = named = keep(names.resolved(t["file_extents"].drop("data"), t["name_events"]))
+    t["inline_names"] = keep(extents.inline_files(named))
+    payloads = t["file_extents"].where("extent_type = 'inline'").select("pos", "data")
+    t["inline_files"] = t["inline_names"].join(payloads, "pos")
     t["regular_files"] = keep(extents.regular_files(named, chunks, len(sb["chunks"]) if "chunks" in sb else None))
     t["root_anomalies"] = decode.root_anomalies(t["leaf_items"])
     t["extent_backrefs"] = decode.extent_backrefs(t["leaf_items"])
@@ -95,20 +98,29 @@ def save(t: dict[str, DataFrame], path: str, folder: str) -> None:
     if "stats" in t:
         inline = t["inline_files"].select("output_path", first.alias("piece"), "data")
         pieces = pieces.unionByName(inline).unionByName(extents.extent_pieces(t["regular_files"], path).drop("short_read"))
-    files.write_files(pieces, folder)
+    # Files are of one piece, or come piece by piece from the task that reads them: nothing is shuffled to be written.
+    files.write_files(pieces, folder, together=True)
     if "stats" in t:
-        files.write_text(folder, "recovery_report.json", report.report_json(t).first()["json"])
+        files.write_text(folder, "recovery_report.json", report.report_text(t))
 
 
 def save_catalog(t: dict[str, DataFrame], folder: str) -> None:
-    """Every table but the raw nodes as Parquet below ``folder``."""
+    """Every table but the raw nodes, and those that others repeat, as Parquet below ``folder``."""
     for name, df in t.items():
-        if name not in ("nodes",):
+        if name not in ("nodes", "inline_names", "named_extents"):
             df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def release(t: dict[str, DataFrame]) -> None:
+    """Give back what a recovery keeps on the executors; its tables can still be used and are computed again then."""
+    for df in t.values():
+        if df.is_cached:
+            df.unpersist()
+
+
 def run_recovery_engine(spark: SparkSession, image_file: str, output_dir: str, scan_current_gen: bool = True) -> dict[str, DataFrame]:
     """Recover from ``image_file`` into ``output_dir`` and return the tables."""
     t = recover(spark, image_file, scan_current_gen)
     save(t, image_file, output_dir)
+    release(t)
     return t

@@ -19,7 +19,7 @@ from siltscan.functions.binary import any_set, encoded, field, zeros
 from siltscan.functions.checksum import crc32c
 from siltscan.operators import decode, extents, names, nodes, report, superblock
 from siltscan.plans import encode, recovery
-from siltscan.sources import image
+from siltscan.sources import files, image
 
 FSID = bytes(range(16, 32))
 NODE, PER_NODE, GENERATION = 4096, 8, 100
@@ -77,12 +77,20 @@ def flagship_deleted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("inode").cast("bigint").alias("inode"), "filename", F.col("size").cast("bigint").alias("size"), F.decode("data", "UTF-8").alias("content"), "source")
 
 
-def _image_of(spark: SparkSession, blocks: DataFrame, n_blocks: int) -> str:
-    """Write blocks into one image in the session's shared folder, each task at its own offsets."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siltscan-")
-    folder = shared.removeprefix("file://")
+def _shared(spark: SparkSession) -> str:
+    """The session's shared folder as a path at which files can be written; a local session without one gets its own."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = (folder or tempfile.mkdtemp(prefix="siltscan-")).removeprefix("file://")
     if "://" in folder:
         raise ValueError("an image can only be written at offsets to a mounted folder")
+    return folder
+
+
+def _image_of(spark: SparkSession, blocks: DataFrame, n_blocks: int) -> str:
+    """Write blocks into one image in the session's shared folder, each task at its own offsets."""
+    folder = _shared(spark)
     path = f"{folder}/image-{uuid.uuid4().hex}.img"
     size = layout.SUPERBLOCK_AT + NODE * (n_blocks + 1)
 
@@ -258,6 +266,13 @@ def a1_recovery_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t["stats"].select("nodes_scanned", "orphan_nodes_found", "checksum_failures", "inline_files_recovered", "total_artifacts", "has_snapshots", "defrag_warning")
 
 
+def _report(spark: SparkSession, t: dict[str, DataFrame], schema: str) -> DataFrame:
+    """The report as it is written, read again."""
+    folder = f"{_shared(spark)}/report-{uuid.uuid4().hex}"
+    files.write_text(folder, "recovery_report.json", report.report_text(t))
+    return spark.read.schema(schema).json(f"{folder}/recovery_report.json", multiLine=True)
+
+
 @query("SELECT json_extract_string(value, '$.filename') AS filename, json_extract_string(value, '$.size')::BIGINT AS size FROM (SELECT json_object('filename', 'inode_' || n_nationkey, 'size', length(n_name)) AS value FROM nation)")
 def k4_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON report of a recovery, parsed again (round trip)."""
@@ -266,8 +281,7 @@ def k4_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     sb = {"fsid": FSID, "generation": GENERATION, "nodesize": NODE, "bytes_used": 6, "total_bytes": 10, "chunks": []}
     sb |= dict.fromkeys(["sectorsize", "root_tree_addr", "chunk_tree_addr", "root_dir_objid", "root_level"], 0)
     t = recovery.recover_blocks(encode.encode_leaves(items, NODE, FSID), sb, 4)
-    each = report.report_json(t).select(F.explode(F.from_json("json", "recovered_files array<struct<filename:string,size:bigint>>")["recovered_files"]).alias("f"))
-    return each.select("f.filename", "f.size")
+    return _report(spark, t, "recovered_files array<struct<filename:string,size:bigint>>").select(F.explode("recovered_files").alias("f")).select("f.filename", "f.size")
 
 
 @query("SELECT 'inode_' || s_suppkey || '_gen50_valid_extent.bin' AS output_path, s_name AS content, false AS short_read FROM supplier")
@@ -325,6 +339,160 @@ def s3_s4_boot_and_volume_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("kind", "off", F.octet_length("bytes").cast("bigint").alias("n"))
 
 
+def _small_superblock(**more) -> dict:
+    sb = {"fsid": FSID, "generation": GENERATION, "nodesize": NODE, "bytes_used": 6, "total_bytes": 10, "chunks": []}
+    return sb | dict.fromkeys(["sectorsize", "root_tree_addr", "chunk_tree_addr", "root_dir_objid", "root_level"], 0) | more
+
+
+def _pointers(rows: DataFrame, key: Column, **cols: Column) -> DataFrame:
+    """Internal nodes of ``PER_NODE`` pointers from a table."""
+    cols = {"child": key * 4096, "child_gen": key, "gen": F.lit(50), "owner": F.lit(5), "tail": F.lit(b""), "hidden": F.lit(False)} | cols
+    rows = rows.select(F.floor(key / PER_NODE).alias("node"), key.alias("slot"), *[c.alias(n) for n, c in cols.items()])
+    return nodes.nodes(encode.encode_internal(rows, NODE, FSID), FSID, GENERATION, NODE)
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey // {PER_NODE} AS node, p_partkey AS key, p_size % 2 = 0 AS hidden, CASE WHEN p_size % 10 = 4 THEN p_partkey * 4096 + 1 WHEN p_size % 10 = 6 THEN 0 ELSE p_partkey * 4096 END AS child FROM part),
+q AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY hidden, key) - 1 AS slot FROM p),
+r AS (SELECT *, bool_or(child = 0 OR child % 4096 <> 0) FILTER (hidden) OVER (PARTITION BY node ORDER BY slot ROWS UNBOUNDED PRECEDING) AS over FROM q)
+SELECT ({layout.SUPERBLOCK_AT + NODE} + node * {NODE})::BIGINT AS parent_offset, child::BIGINT AS child_logical, key AS child_gen, slot::INT AS slot FROM r WHERE hidden AND NOT coalesce(over, false) AND node % 3 <> 0""")
+def g4_orphan_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pointers of internal nodes, some past the valid ones, null or unaligned; current nodes have none (round trip)."""
+    p, key, size = _read(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_size")
+    child = F.when(size % 10 == 4, key * 4096 + 1).when(size % 10 == 6, F.lit(0)).otherwise(key * 4096)
+    gen = F.when(F.floor(key / PER_NODE) % 3 == 0, GENERATION).otherwise(50)
+    got = nodes.orphan_pointers(_pointers(p, key, child=child, hidden=size % 2 == 0, gen=gen), NODE)
+    return got.select("parent_offset", *_long("child_logical", "child_gen"), "slot")
+
+
+@query(f"""
+WITH p AS (SELECT s_suppkey // {PER_NODE} AS node, arg_min(s_nationkey, s_suppkey) AS kind FROM supplier GROUP BY 1)
+SELECT ({layout.SUPERBLOCK_AT + NODE} + node * {NODE})::BIGINT AS off, CASE WHEN kind % 2 = 1 THEN 2 ELSE 1 END::BIGINT AS residuals FROM p WHERE kind % 5 <> 0""")
+def g5_internal_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remains of items on the grid behind an internal node's pointers: one or two, or implausible ones (round trip)."""
+    s, key, kind = _read(spark, sf_dir, "supplier"), F.col("s_suppkey"), F.col("s_nationkey")
+
+    def item(type_: Column, size: Column) -> Column:
+        return F.concat(encoded(F.lit(7), 8), encoded(type_, 1), encoded(F.lit(9), 8), encoded(F.lit(10), 4), encoded(size, 4))
+
+    good, odd = item(F.lit(layout.INODE), F.lit(5)), item(F.lit(7), F.lit(5))
+    tail = F.concat(F.when(kind % 5 == 0, odd).otherwise(good), item(F.lit(layout.INODE), F.lit(0)), F.when((kind % 2 == 1) & (kind % 5 != 0), good).otherwise(odd))
+    return nodes.slack_residuals(_pointers(s, key, tail=tail), NODE).select("off", "residuals")
+
+
+@query(f"SELECT CASE WHEN p_partkey // {PER_NODE} % 5 = 4 THEN 'current' ELSE 'orphan' END AS class, count(DISTINCT p_partkey // {PER_NODE}) AS n FROM part WHERE p_partkey // {PER_NODE} % 4 <> 0 GROUP BY 1")
+def f2_whole_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that are only half there are no nodes (round trip)."""
+    p, key = _read(spark, sf_dir, "part"), F.col("p_partkey")
+    node = F.floor(key / PER_NODE)
+    items = _items(p, key, layout.INODE, zeros(8), gen=F.when(node % 5 == 4, GENERATION).otherwise(50), short=node % 4 == 0)
+    return _nodes(items).groupBy("class").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT p_partkey AS objectid FROM part WHERE p_partkey // {PER_NODE} % 4 <> 0")
+def f6_item_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that claim more items than fit give none (round trip)."""
+    p, key = _read(spark, sf_dir, "part"), F.col("p_partkey")
+    claimed = F.when(F.floor(key / PER_NODE) % 4 == 0, nodes.capacity(NODE) + 1)
+    got = _decoded(_items(p, key, layout.DIR_ITEM, encode.dir_entry(key, F.col("p_name")), claimed=claimed)).where("phase = 0")
+    return got.select(*_long("objectid"))
+
+
+@query(f"""
+SELECT CASE WHEN p_partkey // {PER_NODE} % 5 = 0 THEN 'ignored' ELSE 'orphan' END AS class, CASE WHEN p_partkey // {PER_NODE} % 5 = 0 THEN 'none' ELSE 'leaf' END AS route,
+  count(DISTINCT p_partkey // {PER_NODE}) AS n FROM part GROUP BY ALL""")
+def f12_without_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current nodes are left alone if so wanted (round trip)."""
+    p, key = _read(spark, sf_dir, "part"), F.col("p_partkey")
+    items = _items(p, key, layout.INODE, zeros(8), gen=F.when(F.floor(key / PER_NODE) % 5 == 0, GENERATION).otherwise(50))
+    return _nodes(items, scan_current=False).groupBy("class", "route").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey AS inode, c_name || chr(65533) || 'x' || chr(65533) || 'A' || chr(65533) || chr(65533) AS name FROM customer")
+def c3_malformed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with bytes that aren't UTF-8: each malformed sequence becomes one replacement character (round trip)."""
+    c, key = _read(spark, sf_dir, "customer"), F.col("c_custkey")
+    raw = F.concat(F.encode("c_name", "UTF-8"), F.unhex(F.lit("FF" "78" "E282" "41" "C3" "F0")))
+    payload = F.concat(encoded(key, 8), zeros(19), encoded(F.octet_length(raw), 2), F.unhex(F.lit("01")), raw)
+    return decode.name_events(_decoded(_items(c, key, layout.DIR_ITEM, payload))).select(*_long("inode"), "name")
+
+
+@query("SELECT c_nationkey || '.txt_gen50_valid_inline.bin' AS output_path, min(c_custkey) AS inode FROM customer GROUP BY c_nationkey")
+def d2_first_per_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose files go by their nation's name: one path each, the first file (round trip)."""
+    c, key = _read(spark, sf_dir, "customer"), F.col("c_custkey")
+    found = extents.inline_files(_named_customers(c, key, F.concat(F.col("c_nationkey").cast("string"), F.lit(".txt"))))
+    return found.select("output_path", *_long("inode"))
+
+
+def _named_customers(c: DataFrame, key: Column, name: Column) -> DataFrame:
+    """Inline extents with the customer's name in them, of inodes with a name of their own."""
+    inline = _items(c, key, layout.EXTENT, encode.inline_extent(F.encode("c_name", "UTF-8")), slot=key * 4 + 1)
+    items = _decoded(_items(c, key, layout.DIR_ITEM, encode.dir_entry(key, name)).unionByName(inline))
+    return names.resolved(decode.file_extents(items), decode.name_events(items))
+
+
+@query("SELECT c_custkey || '.txt_gen50_valid_inline.bin' AS name, length(c_name)::BIGINT AS length, c_name AS content FROM customer")
+def k1_recovered_binaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' files as they are written, read again (round trip)."""
+    c, key = _read(spark, sf_dir, "customer"), F.col("c_custkey")
+    found = extents.inline_files(_named_customers(c, key, F.concat(key.cast("string"), F.lit(".txt"))))
+    folder = f"{_shared(spark)}/files-{uuid.uuid4().hex}"
+    files.write_files(found.select("output_path", F.lit(0).alias("piece"), "data"), folder, together=True)
+    got = spark.read.format("binaryFile").load(folder)
+    return got.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "length", F.decode("content", "UTF-8").alias("content"))
+
+
+@query("""
+SELECT n_nationkey || '_50' AS key, n_regionkey AS uid, n_nationkey * 7 AS size, 1700000000 + n_nationkey AS mtime,
+  strftime(to_timestamp(1700000000 + n_nationkey) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S+00:00') AS iso FROM nation""")
+def c9_metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as inode records in the JSON report, parsed again (round trip)."""
+    n, key = _read(spark, sf_dir, "nation"), F.col("n_nationkey").cast("bigint")
+    record = encode.inode_record(size=key * 7, uid=F.col("n_regionkey"), mtime=key + 1_700_000_000)
+    blocks = encode.encode_leaves(_items(n, key, layout.INODE, record), NODE, FSID)
+    meta = "inode_metadata map<string,struct<uid:bigint,size:bigint,mtime:struct<sec:bigint,iso:string>>>"
+    got = _report(spark, recovery.recover_blocks(blocks, _small_superblock(), 4), meta).select(F.explode("inode_metadata").alias("key", "m"))
+    return got.select("key", "m.uid", "m.size", F.col("m.mtime.sec").alias("mtime"), "m.mtime.iso")
+
+
+@query("""
+SELECT 'inline files recovered' AS counter, count(*) AS n FROM nation UNION ALL SELECT 'total artifacts', count(*) FROM nation
+UNION ALL SELECT 'checksum failures', 0 UNION ALL SELECT 'nodes scanned', 4""")
+def k5_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters as the summary for a terminal shows them (round trip)."""
+    n, key = _read(spark, sf_dir, "nation"), F.col("n_nationkey").cast("bigint")
+    blocks = encode.encode_leaves(_items(n, key, layout.EXTENT, encode.inline_extent(F.encode("n_name", "UTF-8"))), NODE, FSID)
+    lines = report.summary(recovery.recover_blocks(blocks, _small_superblock(), 4)).split("\n")
+    shown = spark.createDataFrame([(line,) for line in lines], "line string").select(F.regexp_extract("line", r"^  (\D+?)\s+(\d+)$", 1).alias("counter"), F.regexp_extract("line", r"(\d+)$", 1).alias("n"))
+    return shown.where(F.col("counter").isin("inline files recovered", "total artifacts", "checksum failures", "nodes scanned")).select("counter", F.col("n").cast("bigint").alias("n"))
+
+
+@query("""
+SELECT row_number() OVER (ORDER BY n_nationkey % 2, n_nationkey) AS ord, (n_nationkey + 16) * 16777216 AS logical_start, (n_nationkey * 8192 + 7)::BIGINT AS physical_start FROM nation
+UNION ALL SELECT 0, 16777216, 65536""")
+def j5_chunk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chunk tree of a root with two leaves, found through the superblock's own chunk (round trip)."""
+    keys = [r.n_nationkey for r in _read(spark, sf_dir, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]
+
+    def chunk(logical: int, physical: int, length: int) -> tuple[int, bytes]:
+        return logical, length.to_bytes(8, "little") + bytes(36) + b"\1\0" + bytes(10) + physical.to_bytes(8, "little") + bytes(16)
+
+    base = 1 << 24  # the superblock's chunk: what is at ``base`` lies at the superblock's place
+    leaves = [[(256, layout.CHUNK, *chunk((k + 16) << 24, k * 8192 + 7, 4096)) for k in keys if k % 2 == odd] for odd in (0, 1)]
+    blocks = [encode.pack_internal([(base + NODE * 2, 1), (base + NODE * 3, 1)], NODE, FSID, 1, 3), *(encode.pack_node(x, NODE, FSID, 1, 3) for x in leaves)]
+    start, body = chunk(base, layout.SUPERBLOCK_AT, 1 << 20)
+    array = bytes(8) + bytes([layout.CHUNK]) + start.to_bytes(8, "little") + body
+    sb = bytearray(layout.SUPERBLOCK_BYTES)
+    sb[layout.FSID_AT : layout.FSID_AT + 16], sb[layout.MAGIC_AT : layout.MAGIC_AT + 8] = FSID, layout.MAGIC
+    for at, width, value in ((*layout.SUPERBLOCK["nodesize"], NODE), (*layout.SUPERBLOCK["chunk_tree_addr"], base + NODE), (layout.ARRAY_SIZE_AT, 4, len(array))):
+        sb[at : at + width] = value.to_bytes(width, "little")
+    sb[layout.ARRAY_AT : layout.ARRAY_AT + len(array)] = array
+    parts = [(layout.SUPERBLOCK_AT, sb), *((layout.SUPERBLOCK_AT + NODE * (k + 1), bytearray(b)) for k, b in enumerate(encode.sealed(blocks)))]
+    got = recovery.read_superblock(_image_of(spark, spark.createDataFrame(parts, "off bigint, block binary"), 4))
+    return superblock.chunk_table(spark, got["chunks"]).select(*_long("ord", "logical_start", "physical_start"))
+
+
 # Analogues on table columns.
 
 
@@ -427,16 +595,16 @@ def g4_take_while(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("user_id", taken.alias("taken")).where("taken > 0")
 
 
-@query("SELECT doc_id, regexp_replace(left(text, 80), '[^\\p{L}\\p{N}._-]', '_', 'g') AS safe FROM documents")
+@query("SELECT doc_id, regexp_replace(text, '[^\\p{L}\\p{N}._-]', '_', 'g') AS safe FROM documents")
 def c5_safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sanitised file names of text beginnings."""
-    return _read(spark, sf_dir, "documents").select("doc_id", text.safe_name(F.substring("text", 1, 80)).alias("safe"))
+    """Sanitised names, of whole texts."""
+    return _read(spark, sf_dir, "documents").select("doc_id", text.safe_name(F.col("text")).alias("safe"))
 
 
-@query("SELECT doc_id, NOT regexp_matches(left(text, 60), '[\\n\\r\\t]') AND trim(left(text, 60)) <> '' AS ok FROM documents")
+@query("SELECT doc_id, NOT regexp_matches(text, '\\p{C}|[^\\P{Z} ]') AND trim(text) <> '' AS ok FROM documents")
 def f8_valid_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether text beginnings would do as names."""
-    return _read(spark, sf_dir, "documents").select("doc_id", text.is_name(F.substring("text", 1, 60)).alias("ok"))
+    """Whether whole texts would do as names."""
+    return _read(spark, sf_dir, "documents").select("doc_id", text.is_name(F.col("text")).alias("ok"))
 
 
 @query("""

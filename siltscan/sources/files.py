@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from siltscan.sources.image import open_image
 
 
-def write_files(pieces: DataFrame, folder: str) -> int:
+def write_files(pieces: DataFrame, folder: str, together: bool = False) -> int:
     """Write (output_path, piece, data) below ``folder``, each file by one task from its pieces in order; the number of files.
 
+    ``together``: a file's pieces follow each other in one partition already, so that nothing needs shuffling.
     A task that is repeated writes the same file again under a temporary name and renames it, so readers never see half.
     """
     fs, root = open_image(folder)
@@ -42,14 +43,16 @@ def write_files(pieces: DataFrame, folder: str) -> int:
             yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["output_path"])
         close()
 
-    rows = pieces.select("output_path", "piece", "data").repartition("output_path").sortWithinPartitions("output_path", "piece")
+    rows = pieces.select("output_path", "piece", "data")
+    rows = rows if together else rows.repartition("output_path").sortWithinPartitions("output_path", "piece")
     return rows.mapInArrow(write, "output_path string").count()
 
 
-def write_text(folder: str, name: str, text: str) -> None:
+def write_text(folder: str, name: str, pieces: Iterable[str]) -> None:
     fs, root = open_image(folder)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/{name}") as f:
-        f.write(text.encode())
+        for piece in pieces:
+            f.write(piece.encode())
 
 

@@ -86,6 +86,37 @@ def test_catalog_and_engine(spark, sample, tmp_path):
     assert spark.read.parquet(str(tmp_path / "b" / "recovered_files")).count() == 9
 
 
+def test_command_line(spark, sample, tmp_path, capsys):
+    from siltscan.__main__ import main
+
+    out = tmp_path / "out"
+    assert main([sample, "-o", str(out)]) == 0
+    shown = capsys.readouterr().out
+    assert "inline files recovered" in shown and "renamed.txt" in shown and json.load(open(out / "recovery_report.json"))["stats"]["current_nodes_scanned"] == 3
+    assert main([sample, "-o", str(tmp_path / "b"), "--no-current-gen"]) == 0
+    assert json.load(open(tmp_path / "b" / "recovery_report.json"))["stats"]["current_nodes_scanned"] == 0
+    assert main([str(tmp_path / "none.img"), "-o", str(out)]) == 1 and "no such image" in capsys.readouterr().err
+    (tmp_path / "x.img").write_bytes(bytes(70000))
+    assert main([str(tmp_path / "x.img"), "-o", str(out)]) == 1 and "superblock" in capsys.readouterr().err
+
+
+def test_report_keeps_nulls_order_and_odd_names(spark, sample, tables):
+    doc = json.loads("".join(report.report_text(tables)))
+    kinds = {f["extent_type"]: f for f in doc["recovered_files"]}
+    assert set(kinds["inline"]) == set(report.INLINE) and set(kinds["regular"]) == set(report.REGULAR)
+    assert [f["output_path"] for f in doc["recovered_files"] if f["extent_type"] == "regular"].count(None) == 1
+    assert [f["filename"] for f in doc["recovered_files"]] == [r.filename for r in tables["recovered_files"].orderBy("pos").collect()]
+    assert list(doc) == [name for name, _ in report.SECTIONS] and doc["extent_backrefs"][0]["extent_laddr"] == 0x1000
+    none = tables | {name: tables[name].limit(0) for name in ("inline_names", "regular_files", "inode_metadata", "extent_backrefs", "orphan_pointers", "moves", "devices")}
+    empty = json.loads("".join(report.report_text(none)))
+    assert empty["recovered_files"] == empty["device_info"] == [] and empty["inode_metadata"] == {} and empty["stats"] == doc["stats"]
+
+
+def test_tables_are_released(spark, sample, tmp_path):
+    t = recovery.run_recovery_engine(spark, sample, str(tmp_path / "a"))
+    assert not any(df.is_cached for df in t.values()) and t["stats"].first().nodes_scanned == 13
+
+
 def test_no_superblock(spark, tmp_path):
     path = tmp_path / "x.img"
     path.write_bytes(b"BOOT" + bytes(70000))
