@@ -25,10 +25,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, as ``spark.checkpoint.dir`` sets it; tests without that setting get a temporary one."""
+    """The checkpoint folder of the session, as ``spark.checkpoint.dir`` sets it. Without that setting a local session gets a
+    folder of its own; on a cluster, where executors don't share one, this raises."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siltscan-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="siltscan-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 

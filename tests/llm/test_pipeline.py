@@ -22,9 +22,11 @@ def documents(n=120, seed=11):
     for i in range(n):
         words = [rng.choice(vocabulary) for _ in range(rng.randint(5, 400))]
         if i % 9 == 0:
-            words[2:2] = ["idiot", "you", "pathetic"]
+            words[2:2] = ["idiot", "you", "pathetic"] if i % 2 else ["what", "a", "dizgustin", "show"]
         if i % 8 == 5:
-            words[1:1] = ["zorble", "grumf", "zorble"]
+            words[1:1] = ["zorble", "grumf", "zorble", "brathelings"]
+        if i in (111, 113):
+            words[4:4] = ["bratheling" if i == 111 else "brathelinks", "and", "brathilings"]
         if i % 11 == 0:
             words[3:3] = [f'token = "{hashlib.md5(str(i).encode()).hexdigest()}"']
         if i % 10 == 0:
@@ -41,13 +43,70 @@ def documents(n=120, seed=11):
 LABELS = [(i, int(i % 9 == 0 or i % 8 == 5)) for i in range(110)]
 
 
-def brute_toxicity(rows):
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def brute_learned(rows):
+    """Terms that the labels teach, counted in plain Python; near copies among the labelled count once."""
     m, label = neardup.MinHash(), dict(LABELS)
-    sample = sorted({(m.signature(r[1]), "\n".join({w for w in toxicity.WORD.findall(r[1].lower()) if w.isalpha()}), label[r[0]]) for r in rows if r[0] in label})
-    learned = toxicity.terms_of(sample)
+    seen, n, held = [], [0, 0], (defaultdict(int), defaultdict(int))
+    for sig, words, toxic in sorted((m.mixed(r[1]), "\n".join(sorted({w for w in re.findall(r"\w+", r[1].lower()) if w.isalpha()})), label[r[0]]) for r in rows if r[0] in label):
+        if all(sum(x != y for x, y in zip(sig, s)) > toxicity.COPY for s in seen):
+            seen.append(sig)
+            n[toxic] += 1
+            for w in words.split("\n"):
+                held[toxic][w] += 1
+    share, strength = n[1] / sum(n), {}
+    for w, k in held[1].items():
+        p = k / (k + held[0][w])
+        if p > max(toxicity.PRECISION, share):
+            strength[w] = (k + held[0][w]) * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0)), (k / (k + held[0][w] + 1)) ** 2
+    sure = {w for w, (e, _) in strength.items() if e >= toxicity.EVIDENCE}
+    near = {w for w, (e, _) in strength.items() if e >= toxicity.NEAR_EVIDENCE and any(edits(w, t) <= (0 if len(t) < 6 else 1 if len(t) < 10 else 2) for t in sure)}
+    return {w: strength[w][1] for w in sure | near}
+
+
+def brute_toxicity(rows):
+    learned = brute_learned(rows)
     assert "zorble" in learned
-    a, severity = toxicity.automaton_of(toxicity.LEXICON, learned), {**learned, **toxicity.LEXICON}
-    return [r for r in rows if not r[1] or toxicity.score(r[1], a, severity)[0] + 1e-9 < toxicity.THRESHOLD]
+    terms = {t: 1 if len(t) >= toxicity.LEARNED_LETTERS else 0 for t in learned}
+    terms |= {t: 0 if len(t) < 6 or t in toxicity.EXACT else 1 if len(t) < 10 else 2 for t in toxicity.LEXICON}
+    severity = {**learned, **toxicity.LEXICON}
+    texts = {r: re.findall(r"[@$]?\w+(?:[@$!*]+\w+)*", r[1].lower()) for r in rows}
+    hit = {}
+    for w in {w for words in texts.values() for w in words}:
+        plain = "".join(dict(zip("0134578@$!", "oieastbasi")).get(c, c) for c in w) if any(c.isalpha() for c in w) else w
+        near = [(edits(plain, t), t) for t, most in terms.items() if abs(len(t) - len(plain)) <= most]
+        near = [(e, t) for e, t in near if e <= terms[t]]
+        if near and (w in terms or w not in toxicity.ORDINARY):
+            hit[w] = min(near)
+    around = defaultdict(set)
+    for words in texts.values():
+        for i, w in enumerate(words):
+            if w in hit:
+                around[w if hit[w][0] else hit[w][1]].add((words[i - 1] if i else None, words[i + 1] if i + 1 < len(words) else None))
+    for w in [w for w in hit if hit[w][0]]:
+        if len(around[w]) >= max(toxicity.COMMON, toxicity.COMMON_SHARE * len(around[hit[w][1]])):
+            del hit[w]
+    out = []
+    for r, words in texts.items():
+        total = 0
+        for i, w in enumerate(words):
+            if w in hit:
+                e, t = hit[w]
+                factor = 0.6 if set(words[max(0, i - 8) : i + 9]) & toxicity.REPORTING else 1.0
+                factor *= 1.25 if set(words[max(0, i - 3) : i + 4]) & toxicity.SECOND_PERSON else 1
+                total += severity[t] * (toxicity.PER_EDIT if t in toxicity.LEXICON else toxicity.LEARNED_EDIT) ** e * factor
+        if total < toxicity.THRESHOLD - 1e-9:
+            out.append(r)
+    return out
 
 
 def brute_dedup(rows):
@@ -93,10 +152,14 @@ def _md5(*parts):
     return hashlib.md5("|".join([mixing.SEED, *map(str, parts)]).encode()).hexdigest()
 
 
+#: The same expression as Python writes it.
+TOKEN = re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), mixing.TOKEN)
+
+
 def brute_mixing(rows, block_tokens=mixing.BLOCK_TOKENS, shard_tokens=mixing.SHARD_TOKENS, fraction=mixing.FRACTION):
     units = defaultdict(int)
     for doc, text, _, source, *_ in rows:
-        units["" if doc is None else str(doc), source or ""] += len(re.findall(mixing.TOKEN, text or ""))
+        units["" if doc is None else str(doc), source or ""] += len(re.findall(TOKEN, text or ""))
     totals = defaultdict(int)
     for (_, s), n in units.items():
         totals[s] += n
@@ -104,26 +167,31 @@ def brute_mixing(rows, block_tokens=mixing.BLOCK_TOKENS, shard_tokens=mixing.SHA
     piles = defaultdict(list)
     for (i, s), n in units.items():
         piles[int(_md5("shard", i)[:8], 16) % n_shards, s].append((_md5("order", i), i, n))
-    block = {}
+    block, total = {}, defaultdict(int)
     for (shard, s), pile in piles.items():
-        before = 0
         for _, i, n in sorted(pile):
-            block[i, s] = (shard, before // block_tokens)
-            before += n
+            block[i, s] = (shard, total[shard, s] // block_tokens)
+            total[shard, s] += n
     chosen = set()
     for shard in range(n_shards):
         there = defaultdict(set)
         for (_, s), (sh, b) in block.items():
             if sh == shard:
                 there[s].add(b)
-        seats, won = math.floor(sum(map(len, there.values())) * fraction), dict.fromkeys(there, 0)
+        n_blocks = {s: max(math.ceil(total[shard, s] / block_tokens), max(bs) + 1) for s, bs in there.items()}
+        seats, won = math.ceil(sum(n_blocks.values()) * fraction - 1e-9), dict.fromkeys(there, 0)
         for _ in range(seats):
-            open_ = [s for s in there if won[s] < len(there[s]) and totals[s]]
+            open_ = [s for s in there if won[s] < n_blocks[s] and totals[s]]
             if not open_:
                 break
             won[min(open_, key=lambda s: (-math.sqrt(totals[s]) / (2 * won[s] + 1), s))] += 1
         for s, bs in there.items():
-            chosen |= {(shard, s, b) for b in sorted(bs, key=lambda b: (_md5("block", shard, s, b), b))[: won[s]]}
+            used = 0
+            for b in sorted(bs, key=lambda b: (_md5("block", shard, s, b), b)):
+                span = min([x for x in bs if x > b], default=n_blocks[s]) - b
+                if used + span / 2 <= won[s]:
+                    chosen.add((shard, s, b))
+                used += span
     return [r for r in rows if (lambda i, s: (block[i, s][0], s, block[i, s][1]) in chosen)("" if r[0] is None else str(r[0]), r[3] or "")]
 
 

@@ -67,6 +67,35 @@ def test_given_weights_and_shards(spark):
     assert mixing.mixture(df, weights={}).count() == 0
 
 
+def test_long_documents_cost_the_blocks_they_span(spark):
+    """Shares by tokens keep to the quota within a block, or half of a long document, whatever the lengths."""
+    rng = random.Random(5)
+    rows = [(i, "x " * 4000, "en", "long", 1) for i in range(60)] + [(1000 + i, "y " * rng.randint(1, 200), "en", "short", 1) for i in range(2400)]
+    rows += [(9000 + i, "漢" * 100, "ja", "signs", 1) for i in range(2400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    n = {r.source: r.t for r in mixing.units(df).groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+    assert n["long"] == n["signs"] == 240_000
+    for long, block in ((1, 512), (2, 512), (1, 5000)):
+        got = mixing.mixture(df, weights={"long": float(long), "short": 1.0, "signs": 1.0}, fraction=0.3, block_tokens=block, shard_tokens=10**9).groupBy("source").agg(F.sum("tokens").alias("t")).collect()
+        got, whole = {r.source: r.t for r in got}, 0.3 * sum(n.values())
+        for s, weight in (("long", long), ("short", 1), ("signs", 1)):
+            assert abs(got[s] - whole * weight / (long + 2)) <= 2 * block + (2000 if s == "long" else 200), (s, got, block)
+    one = spark.createDataFrame([(1, "a b c", "en", "a", 5)], df.schema)
+    assert mixing.mixture(one).count() == 1
+    given = mixing.mixture(one.withColumn("n_tokens", F.lit(77)), tokens_col="n_tokens").collect()
+    assert [(r.doc_id, r.tokens) for r in given] == [(1, 77)]
+
+
+def test_native_counts_go_with_the_tokenizers(spark):
+    from siltscan.llm import tokens
+
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    exact = tokens.token_counts(df).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("n_tokens").alias("t"))
+    native = mixing.units(df).groupBy("source").agg(F.sum("tokens").alias("n"))
+    ratio = [r.t / r.n for r in exact.join(native, "source").collect()]
+    assert len(ratio) > 10 and max(ratio) / min(ratio) < 1.25
+
+
 def test_mixing_of_awkward_rows(spark, awkward, empty):
     every = mixing.mixed(awkward, fraction=1.0)
     assert every.columns == awkward.columns and every.count() == len(ROWS)
