@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from siltscan.llm._common import small
+from siltscan.llm._common import cut, small
 
 BITS, DIMENSIONS, SHARD_CHARS = 4, 3, 8_000_000
 
@@ -57,12 +57,20 @@ def _curve(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
 
 
 def _buckets(docs: DataFrame, column: str) -> DataFrame:
-    """(value, bucket) of the distinct values of ``column``. The window orders distinct values, not rows."""
+    """(value, bucket) of the distinct values of ``column``.
+
+    The rows before a value are summed on two levels: distinct values in ranges, each range a task of its own, and
+    the ranges' totals, one row a range, so that no task orders all values.
+    """
     n = docs.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    by = Window.partitionBy(F.lit(0))
-    before = F.sum("n").over(by.orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, -1))
-    bucket = F.expr(f"coalesce(before, 0) * {1 << BITS} div total")
-    return n.withColumn("before", before).withColumn("total", F.sum("n").over(by)).select("value", bucket.alias("bucket"))
+    n = cut(n.repartitionByRange(F.asc_nulls_first("value")).withColumn("range", F.spark_partition_id()))
+    all_ = Window.partitionBy(F.lit(0))
+    whole = n.groupBy("range").agg(F.sum("n").alias("own"))
+    base = F.sum("own").over(all_.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    whole = F.broadcast(whole.select("range", base.alias("base"), F.sum("own").over(all_).alias("total")))  # a row a range
+    before = F.sum("n").over(Window.partitionBy("range").orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, -1))
+    placed = n.withColumn("before", before).join(whole, "range")
+    return placed.select("value", F.expr(f"(coalesce(base, 0) + coalesce(before, 0)) * {1 << BITS} div total").alias("bucket"))
 
 
 def _length() -> Column:
