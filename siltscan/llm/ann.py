@@ -5,7 +5,8 @@ batches of growing size: a greedy beam search from the medoid proposes the nodes
 pruning keeps a candidate only if no kept one is closer to it, by the factor ``ALPHA``, than the point itself. Reverse
 edges are added and pruned alike, to ``DEGREE`` edges. Every vector is a query and searches every shard with a beam of
 ``BEAM``; the shards' nearest are merged to ``k``. All searches of a block of queries advance in step, as array
-operations.
+operations; what they hold follows the beam, not the shard. A shard's size is fixed, as recall falls with it: for one
+recall, a larger shard takes as much wider a beam.
 
 Distance is Euclidean; ties go to the smaller id. Equal vectors of a shard share a node and all take part in results.
 Null vectors, vectors with a null or non-finite element, and those not of the commonest length (ties: the longer) take no
@@ -42,10 +43,10 @@ class Graph:
 
     def search(self, queries: np.ndarray, beam: int, history: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Nodes (-1: none) and squared distances of the ``beam`` nearest found, in order; with ``history`` of all expanded."""
-        n, q = len(self.vectors), len(queries)
+        q = len(queries)
         ids, dist = np.full((q, beam), -1, dtype=np.int32), np.full((q, beam), np.inf, dtype=np.float32)
-        done, seen = np.ones((q, beam), dtype=bool), np.zeros((q, n), dtype=bool)
-        ids[:, 0], done[:, 0], seen[:, self.start] = self.start, False, True
+        done = np.ones((q, beam), dtype=bool)
+        ids[:, 0], done[:, 0] = self.start, False
         dist[:, 0] = _distances(queries, np.broadcast_to(self.vectors[self.start], (q, 1, queries.shape[1])))[:, 0]
         tried, tried_dist = [], []
         rows = np.arange(q)
@@ -63,14 +64,20 @@ class Graph:
                 tried.append(column)
                 tried_dist.append(gap)
             near = self.edges[node]
-            new = (near >= 0) & ~seen[rows[:, None], near]
-            seen[rows[:, None], np.where(near >= 0, near, node[:, None])] = True
-            d = np.where(new, _distances(queries[rows], self.vectors[near]), np.inf)
-            every = np.concatenate([dist[rows], d], axis=1)
+            d = _distances(queries[rows], self.vectors[near])
+            # What a full beam has dropped is no nearer than its last and never comes back, so no list of seen nodes is
+            # needed, whose size would follow the shard's: a neighbour is new if it is nearer than the last and not in the beam.
+            new = (near >= 0) & (d < dist[rows, -1:])
+            r, c = np.nonzero(new)
+            held = (ids[rows[r]] == near[r, c][:, None]).any(axis=1)
+            new[r[held], c[held]] = False
+            some = new.any(axis=1)
+            into, new, near, d = rows[some], new[some], near[some], d[some]
+            every = np.concatenate([dist[into], np.where(new, d, np.inf)], axis=1)
             order = np.argsort(every, axis=1, kind="stable")[:, :beam]
-            dist[rows] = np.take_along_axis(every, order, axis=1)
-            ids[rows] = np.take_along_axis(np.concatenate([ids[rows], np.where(new, near, -1)], axis=1), order, axis=1)
-            done[rows] = np.take_along_axis(np.concatenate([done[rows], ~new], axis=1), order, axis=1)
+            dist[into] = np.take_along_axis(every, order, axis=1)
+            ids[into] = np.take_along_axis(np.concatenate([ids[into], np.where(new, near, -1)], axis=1), order, axis=1)
+            done[into] = np.take_along_axis(np.concatenate([done[into], ~new], axis=1), order, axis=1)
         if history:
             return np.stack(tried, axis=1), np.stack(tried_dist, axis=1)
         return ids, dist
