@@ -17,7 +17,8 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--output", "-o", metavar="FOLDER", help="where to put what is recovered", default="recovered")
     parser.add_argument("--no-current-gen", help="leave current nodes alone", action="store_true")
     args = parser.parse_args(argv)
-    spark = SparkSession.builder.appName("siltscan").getOrCreate()
+    # Looking up the caller of each column function would take longer than planning.
+    spark = SparkSession.builder.appName("siltscan").config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     try:
         tables = run_recovery_engine(spark, args.image, args.output, not args.no_current_gen)
     except FileNotFoundError:
