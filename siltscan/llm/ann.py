@@ -10,7 +10,7 @@ recall, a larger shard takes as much wider a beam.
 
 Distance is Euclidean; ties go to the smaller id. Equal vectors of a shard share a node and all take part in results.
 Null vectors, vectors with a null or non-finite element, and those not of the commonest length (ties: the longer) take no
-part, nor do null ids. Rows with one id are one vector, the first in order. Nothing is its own neighbour; with few
+part, nor do null ids; ``left_out`` counts them. Rows with one id are one vector, the first in order. Nothing is its own neighbour; with few
 vectors there are fewer than ``k`` neighbours.
 """
 
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltscan.llm._common import cut
@@ -155,11 +155,22 @@ def _reverse(graph: Graph, points: np.ndarray, degree: int, alpha: float) -> Non
         graph.edges[own[rest]] = packed
 
 
+def _finite(v: Column) -> Column:
+    return F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))), F.lit(False))
+
+
+def left_out(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(reason, n): how many rows take no part, and why."""
+    one = usable(table, id_col, vector_col).select(F.size("vector")).first()
+    v = F.col(vector_col).cast("array<float>")
+    other = F.size(v) != F.lit(one[0] if one else 0)
+    reason = F.when(F.col(id_col).isNull(), "no id").when(~_finite(v), "no finite vector").when(other, "other length")
+    return table.select(reason.alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def usable(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, vector) of the rows that take part."""
-    v = F.col("vector")
-    rows = table.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).where("id IS NOT NULL AND size(vector) > 0")
-    rows = rows.where(F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))))
+    rows = table.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).where(F.col("id").isNotNull() & _finite(F.col("vector")))
     rows = cut(rows.groupBy("id").agg(F.min("vector").alias("vector")))
     common = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     return rows.where(F.size("vector") == (common["n"] if common else 0))

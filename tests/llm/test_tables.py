@@ -370,6 +370,7 @@ def test_vectors_that_are_awkward(spark):
     assert set(by) == {*range(30), 40}
     assert [n for _, n, _ in sorted(by[29])] == list(range(10)) and [n for _, n, _ in sorted(by[0])] == list(range(1, 11))
     assert sorted(by[40])[0] == (1, 0, round(float(np.hypot(2.5, 3.5)), 4))
-    assert ann.neighbours(df.limit(0)).count() == 0
+    assert {r.reason: r.n for r in ann.left_out(df).collect()} == {"no id": 1, "no finite vector": 5, "other length": 1}
+    assert ann.left_out(df.limit(0)).count() == 0 == ann.neighbours(df.limit(0)).count()
     assert ann.neighbours(df.where("vec_id = 40")).count() == 0
     assert [(r.vec_id, r.neighbor_id) for r in ann.neighbours(df.where("vec_id IN (3, 40)")).orderBy("vec_id").collect()] == [(3, 40), (40, 3)]
