@@ -3,7 +3,7 @@ import os
 import struct
 
 import pytest
-from images import FSID, SIZE, chunk, dirent, inline, inner, inode, leaf, refs, sample_image, slow_crc32c, superblock
+from images import FSID, SIZE, chunk, inner, inode, leaf, refs, sample_image, slow_crc32c, superblock
 from pyspark.sql import functions as F
 
 from siltscan.functions import checksum, text
