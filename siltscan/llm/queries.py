@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltscan.llm import ann, bpe, html, linecrf, mixing, neardup, secrets, sharding, tokens, toxicity
+from siltscan.llm import bpe, cells, html, linecrf, mixing, neardup, secrets, sharding, tokens, toxicity
 from siltscan.llm._common import read
 
 
@@ -44,7 +44,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.neighbours(read(spark, sf_dir, "embeddings"))
+    """The nearest others, among all vectors, of each vector whose id is divisible by 50."""
+    return cells.neighbours_of(read(spark, sf_dir, "embeddings"))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
