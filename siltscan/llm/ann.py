@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltscan.llm._common import cut
+from siltscan.llm._common import cut, small
 
 K, DEGREE, BUILD_BEAM, BEAM, ALPHA, SHARD_ROWS, BLOCK_ROWS = 10, 32, 64, 128, 1.2, 20_000, 2_000
 
@@ -156,7 +156,9 @@ def _reverse(graph: Graph, points: np.ndarray, degree: int, alpha: float) -> Non
 
 
 def _finite(v: Column) -> Column:
-    return F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))), F.lit(False))
+    # Compiled functions, as a lambda is interpreted element by element. The first is null if an element is.
+    inf = F.lit(float("inf")).cast("float")
+    return F.coalesce(~F.array_contains(v, F.lit(float("nan")).cast("float")) & (F.array_max(v) < inf) & (F.array_min(v) > -inf), F.lit(False))
 
 
 def left_out(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -171,7 +173,11 @@ def left_out(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 def usable(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, vector) of the rows that take part."""
     rows = table.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).where(F.col("id").isNotNull() & _finite(F.col("vector")))
-    rows = cut(rows.groupBy("id").agg(F.min("vector").alias("vector")))
+    # Only ids are shuffled, and the vectors of ids that are there more than once.
+    twice = small(rows.groupBy("id").count().where("count > 1").select("id"))
+    if not twice.isEmpty():
+        again = rows.join(twice, "id", "left_semi").groupBy("id").agg(F.min("vector").alias("vector"))
+        rows = cut(rows.join(twice, "id", "left_anti").unionByName(again))
     common = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     return rows.where(F.size("vector") == (common["n"] if common else 0))
 
