@@ -2,7 +2,7 @@ import tracemalloc
 
 from pyspark.sql import functions as F
 
-from siltscan import layout
+from siltscan import layout, queries
 from siltscan.functions import checksum
 from siltscan.plans import encode
 
@@ -40,3 +40,12 @@ def test_nodes_are_packed_alike_however_rows_are_batched(spark):
         block = block[:1] + bytes([block[1] ^ 0xFF]) + block[2:] if node == 1 else block
         want[off] = block[: SIZE // 2] if node == 2 else block
     assert got == want
+
+
+def test_rows_of_any_keys_fill_their_nodes(spark, monkeypatch):
+    made, encode_leaves = [], encode.encode_leaves
+    monkeypatch.setattr(encode, "encode_leaves", lambda *a: made.append(encode_leaves(*a)) or made[-1])
+    for name, fill in (("p8_regular_extents", 39), ("p3_inode_records", 21)):
+        df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        rows, nodes = df.count(), made[-1].count()
+        assert nodes <= rows // fill + 8, (name, rows, nodes)
